@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import sharding, url_filter
 from .common import table
 
 
@@ -14,8 +14,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), weights)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op7_url_filter": op7_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
