@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, url_filter
-from .common import table
+from . import decontaminate, langid, packing, sharding, token_counts, url_filter
+from .common import materialize, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,14 +14,47 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.stored_index(table(spark, sf_dir, "documents"))
+    found = decontaminate.match(index, table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort("items"), ",", "")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.predict(docs, langid.learn(docs), keep=["doc_id"])
+    return rows.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streams = materialize(token_counts.write_streams(table(spark, sf_dir, "documents")), "tokens")
+    return token_counts.count_tokens(streams)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.train(url_filter.labelled_urls(spark))
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), weights)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_language_id": op4_language_id,
+    "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
