@@ -8,8 +8,8 @@ out, and the largest corrected count decides.
 Learning uses at most about ``SAMPLE`` labelled texts of each language (picked by a hash of the id;
 the bound is a parameter) and at most ``MAX_GRAMS`` n-grams; prediction reads whole texts.
 
-Nulls, empty texts and texts without a letter get ``und`` with score 0. Without labelled rows every
-text does. Repeated rows and rows with equal ids are predicted one by one. Equal counts go to the
+Nulls, empty texts and texts without a letter get ``und`` with score 0. Without labelled rows every text does.
+A text whose letters make no known n-gram gets the commonest language with score 0. Repeated rows and rows with equal ids are predicted one by one. Equal counts go to the
 language that sorts first.
 """
 
@@ -70,8 +70,9 @@ def positions(gram: np.ndarray, k: int) -> np.ndarray:
 class LanguageFilter:
     """Bit-sliced Bloom filter over languages; its size depends on ROWS_LOG2 and the languages only."""
 
-    def __init__(self, languages: list[str], gram: np.ndarray, mask: np.ndarray):
+    def __init__(self, languages: list[str], gram: np.ndarray, mask: np.ndarray, common: int = 0):
         self.languages = languages
+        self.common = common
         kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint32 if len(languages) <= 32 else np.uint64
         self.rows = np.zeros(1 << ROWS_LOG2, kind)
         for k in range(HASHES):
@@ -87,7 +88,7 @@ class LanguageFilter:
         return found
 
     def decide(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(language index, score) of each text; -1 where no n-gram is known."""
+        """(language index, score) of each text; the commonest language, with score 0, where no n-gram is known."""
         doc, gram = grams(texts)
         n = len(texts)
         total = np.bincount(doc, minlength=n).astype(float)
@@ -99,7 +100,7 @@ class LanguageFilter:
         best = counts.argmax(axis=1)
         top = counts[np.arange(n), best]
         score = np.divide(top, total, out=np.zeros(n), where=total > 0)
-        return np.where(total > 0, best, -1), np.clip(score, 0, 1)
+        return np.where(top > 0, best, self.common), np.clip(score, 0, 1)
 
 
 def _count(languages: list[str]):
@@ -110,9 +111,10 @@ def _count(languages: list[str]):
             for part in slices(batch, "text"):
                 lang = np.array([index[x] for x in part.column(part.schema.get_field_index("lang")).to_pylist()], np.int64)
                 doc, gram = grams(part.column(part.schema.get_field_index("text")))
-                pair = np.unique(np.stack([gram.astype(np.int64), doc.astype(np.int64)]), axis=1) if len(gram) else np.empty((2, 0), np.int64)
-                key, n = np.unique(np.stack([pair[0], lang[pair[1]]]), axis=1, return_counts=True) if pair.shape[1] else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key[0], pa.int64()), pa.array(key[1].astype(np.int32), pa.int32()), pa.array(n.astype(np.int64), pa.int64())], ["gram", "lang", "n"])
+                # an n-gram has 40 bits: with the text's number, and then the language's, it fits one key
+                pair = np.unique((gram.astype(np.int64) << 20) | doc)
+                key, n = np.unique(((pair >> 20) << 6) | lang[pair & 0xFFFFF], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key >> 6, pa.int64()), pa.array((key & 63).astype(np.int32), pa.int32()), pa.array(n.astype(np.int64), pa.int64())], ["gram", "lang", "n"])
 
     return run
 
@@ -123,6 +125,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return None
+    commonest = sizes[0]["lang"]
     sizes.sort(key=lambda r: r["lang"])
     languages = [r["lang"] for r in sizes]
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30))
@@ -134,7 +137,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     known = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TEXTS)
     masks = known.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, lang)")).alias("mask"), F.sum("n").alias("n"))
     found = masks.orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).select("gram", "mask").toArrow()  # MAX_GRAMS rows at most
-    return LanguageFilter(languages, found["gram"].to_numpy().astype(np.uint64), found["mask"].to_numpy().astype(np.uint64))
+    return LanguageFilter(languages, found["gram"].to_numpy().astype(np.uint64), found["mask"].to_numpy().astype(np.uint64), languages.index(commonest))
 
 
 def predict(docs: DataFrame, model: LanguageFilter | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
