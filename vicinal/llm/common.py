@@ -103,3 +103,25 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+def append_columns(docs: DataFrame, keep: list[str] | None, inputs: list[F.Column], compute, new: str, limit: int = 8 << 20) -> DataFrame:
+    """``docs`` with columns computed from Arrow batches.
+
+    ``keep`` names the columns of ``docs`` to return (all, if None). ``inputs`` are evaluated by Spark
+    and handed to ``compute`` as a list of arrays; it returns the new columns, whose schema is ``new``.
+    Batches are cut by the bytes of the first input.
+    """
+    columns = docs.columns if keep is None else keep
+    rows = docs.select(*(F.col(f"`{c}`") for c in columns), *(c.alias(f"__in{i}") for i, c in enumerate(inputs)))
+    n = len(columns)
+    names = [c.strip().rsplit(" ", 1)[0].strip("`") for c in new.split(",")]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "__in0", limit):
+                found = compute([part.column(i) for i in range(n, part.num_columns)])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *found], [*columns, *names])
+
+    out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:n])
+    return rows.mapInArrow(run, out + new)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, slices
+from .common import append_columns, buffers, slices
 
 SAMPLE = 2000
 MAX_LANGUAGES = 64
@@ -143,28 +143,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
 def predict(docs: DataFrame, model: LanguageFilter | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all, if not given), ``lang_pred`` and ``score``; lang, source and id play no part."""
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    columns = docs.columns if keep is None else keep
-    rows = docs.select(*columns, F.when(letters, F.col(text_col)).alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = rows.schema
-    kept = [f.name for f in schema.fields[:-1]]
-
-    def run(batches):
-        filt = shared.value
-        for batch in batches:
-            for part in slices(batch, "__text"):
-                texts = part.column(part.num_columns - 1)
-                some = np.asarray(pc.is_valid(texts))
-                if filt is None:
-                    best, score = np.full(len(texts), -1), np.zeros(len(texts))
-                else:
-                    best, score = filt.decide(texts)
-                best = np.where(some, best, -1)
-                names = [UNKNOWN if b < 0 else filt.languages[b] for b in best]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(part.num_columns - 1)), pa.array(names, pa.string()), pa.array(np.where(best < 0, 0.0, score), pa.float64())],
-                    [*kept, "lang_pred", "score"],
-                )
-
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[:-1])
-    return rows.mapInArrow(run, (out + ", " if out else "") + "lang_pred string, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed
+
+    def compute(inputs):
+        filt, some = shared.value, np.asarray(inputs[1])
+        if filt is None:
+            best, score = np.full(len(some), -1), np.zeros(len(some))
+        else:
+            best, score = filt.decide(inputs[0])
+        names = [filt.languages[b] if s and filt else UNKNOWN for b, s in zip(best.tolist(), some)]
+        return [pa.array(names, pa.string()), pa.array(np.where(some & (best >= 0), score, 0.0), pa.float64())]
+
+    return append_columns(docs, keep, [F.col(text_col), letters], compute, "lang_pred string, score double")

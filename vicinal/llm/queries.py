@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, sharding, token_counts, url_filter
+from . import decontaminate, langid, packing, sharding, simhash, token_counts, url_filter
 from .common import materialize, table
 
 
@@ -34,6 +34,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = materialize(token_counts.write_streams(table(spark, sf_dir, "documents")), "tokens")
     return token_counts.count_tokens(streams)
@@ -52,6 +57,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
+    "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
     "op9_packing": op9_packing,
