@@ -74,7 +74,11 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """Cut a batch so that each piece holds about ``limit`` bytes of ``column`` (one row at least)."""
-    _, off = buffers(batch.column(batch.schema.get_field_index(column)))
+    values = batch.column(batch.schema.get_field_index(column))
+    if not (pa.types.is_string(values.type) or pa.types.is_large_string(values.type) or pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type)):
+        yield batch
+        return
+    _, off = buffers(values)
     start, n = 0, batch.num_rows
     while start < n:
         stop = int(np.searchsorted(off, off[start] + limit, side="right")) - 1

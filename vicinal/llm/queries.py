@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, sharding, simhash, token_counts, url_filter
+from . import ann, decontaminate, langid, packing, sharding, simhash, token_counts, url_filter
 from .common import materialize, table
 
 
@@ -49,6 +49,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), weights)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
+    "op8_ann": op8_ann,
     "op9_packing": op9_packing,
 }
 
