@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, packing, sharding, simhash, token_counts, url_filter
+from . import ann, decontaminate, langid, packing, sharding, simhash, suffix_dedup, token_counts, url_filter
 from .common import materialize, table
 
 
@@ -57,6 +57,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return cut.select(
+        "doc_id",
+        F.col("__n_bytes").alias("n_bytes"),
+        F.col("__n_removed").alias("n_removed"),
+        F.col("__n_spans").alias("n_spans"),
+        F.sha2("__kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_decontaminate": op3_decontaminate,
@@ -66,6 +77,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_ann": op8_ann,
     "op9_packing": op9_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
