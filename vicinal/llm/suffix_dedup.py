@@ -39,8 +39,8 @@ NAMES = (20, 32, 42, 50)
 TEXT_SPANS = 16
 #: Windows of a span at most.
 SPAN_WINDOWS = 64
-BUCKET_BYTES = 24 << 20
-PART_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
+PART_BYTES = 4 << 20
 AT_LEAST = 32
 #: Characters that a call of the suffix array construction takes.
 CALL = 1 << 20
