@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, packing, sharding, simhash, suffix_dedup, token_counts, url_filter
+from . import ann, decontaminate, html_text, langid, packing, sharding, simhash, suffix_dedup, token_counts, url_filter
 from .common import materialize, table
 
 
@@ -14,6 +14,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.stored_index(table(spark, sf_dir, "documents"))
     found = decontaminate.match(index, table(spark, sf_dir, "benchmark"))
@@ -70,6 +74,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_html_text": op2_html_text,
     "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
