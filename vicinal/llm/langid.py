@@ -140,8 +140,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     return LanguageFilter(languages, found["gram"].to_numpy().astype(np.uint64), found["mask"].to_numpy().astype(np.uint64), languages.index(commonest))
 
 
-def predict(docs: DataFrame, model: LanguageFilter | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all, if not given), ``lang_pred`` and ``score``; lang, source and id play no part."""
+def predict(docs: DataFrame, model: LanguageFilter | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns (all, if not given), the predicted language and its score; lang, source and id play no part."""
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed
 
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: LanguageFilter | None, id_col: str = "doc_id
             best, score = np.full(len(some), -1), np.zeros(len(some))
         else:
             best, score = filt.decide(inputs[0])
-        names = [filt.languages[b] if s and filt else UNKNOWN for b, s in zip(best.tolist(), some)]
-        return [pa.array(names, pa.string()), pa.array(np.where(some & (best >= 0), score, 0.0), pa.float64())]
+        found = [filt.languages[b] if s and filt else UNKNOWN for b, s in zip(best.tolist(), some)]
+        return [pa.array(found, pa.string()), pa.array(np.where(some & (best >= 0), score, 0.0), pa.float64())]
 
-    return append_columns(docs, keep, [F.col(text_col), letters], compute, "lang_pred string, score double")
+    return append_columns(docs, keep, [F.col(text_col), letters], compute, f"{names[0]} string, {names[1]} double")
