@@ -161,7 +161,10 @@ def spans_of(raw: np.ndarray, offsets: np.ndarray, width: int, length: int = LEN
         content = (total[begin + size - width + 1] - total[begin]) * _powers(_INVERSE, len(h))[begin]
         content = (content ^ (content >> np.uint64(31)) ^ size.astype(np.uint64)) * _B
         content ^= content >> np.uint64(32)
-    return doc[begin], begin, size, name[begin], content
+    # least hashes crowd at the low end; names are spread out again, for buckets of like size
+    spread_out = name[begin] * _C
+    spread_out = (spread_out ^ (spread_out >> np.uint64(32))) * _A
+    return doc[begin], begin, size, spread_out ^ (spread_out >> np.uint64(29)), content
 
 
 # 1. spans of documents to buckets
@@ -177,7 +180,7 @@ def _emit_spans(n_buckets: int):
             i = order[a:b]
             ids, at = _unique_pairs(id_[i], check[i])
             rows.append(int(key[i[0]]))
-            blobs.append(pack(ids[0], ids[1].astype(np.uint32), at.astype(np.uint32), start[i].astype(np.uint32), size[i].astype(np.uint8), name[i], content[i]))
+            blobs.append(pack(ids[0], ids[1], at.astype(np.uint32), start[i], size[i], name[i], content[i]))
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["part", "pack"])
 
     def run(batches):
@@ -191,9 +194,9 @@ def _emit_spans(n_buckets: int):
                 if not len(doc):
                     continue
                 key = (((name >> np.uint64(_NAME_BITS)) * np.uint64(n_buckets)) >> np.uint64(64 - _NAME_BITS)).astype(np.int32)
-                found.append((key, id_[doc], check[doc], start - off[doc], size, name & np.uint64((1 << _NAME_BITS) - 1), content & np.uint64((1 << _CONTENT_BITS) - 1)))
+                found.append((key, id_[doc], check[doc].astype(np.uint32), (start - off[doc]).astype(np.uint32), size.astype(np.uint8), name & np.uint64((1 << _NAME_BITS) - 1), content & np.uint64((1 << _CONTENT_BITS) - 1)))
                 held += len(doc)
-                if held > 1 << 21:
+                if held > 1 << 19:
                     yield out(found)
                     found, held = [], 0
         if found:
