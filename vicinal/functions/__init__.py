@@ -1 +1 @@
-
+"""Scalar functions as Column builders."""

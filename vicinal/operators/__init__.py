@@ -1 +1 @@
-
+"""Table operators: indexes, matchers, stores."""

@@ -1 +1 @@
-
+"""Search plans, and the catalogue of queries with their SQL twins."""

@@ -1 +1 @@
-
+"""Structured Streaming: incremental insert and metrics."""
