@@ -59,7 +59,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         kind = a.dtype.str.encode()
         head.append(struct.pack("<i4sq", len(kind), kind.ljust(4), len(a)))
-        body.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes())
+        body.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     raw = b"".join(body)
     return b"".join(head) + struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
