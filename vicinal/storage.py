@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,5 +31,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "lz4").parquet(path)
     schema = df.schema
     del df
+    gc.collect()  # lets go of the plan, and with it of its shuffles
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
