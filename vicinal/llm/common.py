@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import materialize, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none (local tests), a temporary folder is set once.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_vicinal_shared", None)
-        if folder is None:
-            folder = "file://" + tempfile.mkdtemp(prefix="vicinal-")
-            spark._vicinal_shared = folder
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: later jobs, and retries after a lost executor, start from the files. The
-    writer's shuffle files are released as soon as the driver has collected its garbage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vicinal-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
-    schema = df.schema
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["append_columns", "buffers", "materialize", "run_starts", "shared_folder", "slices", "spread", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
