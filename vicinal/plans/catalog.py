@@ -545,3 +545,19 @@ def stream_ingest(spark, sf):
     source.write.parquet(f"{root}/in")
     stream_insert(spark.readStream.schema(source.schema).parquet(f"{root}/in"), s, f"{root}/checkpoint").awaitTermination()
     return store.stat_size(s.records())
+
+
+@query("sift_keypoints")
+def sift_keypoints(spark, sf):
+    """Keypoints of 64 x 64 images drawn from the line items (an image for each nation of the suppliers)."""
+    from ..functions.sift import extract_keypoints
+
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    side = 64
+    cell = (F.pmod(F.xxhash64("l_partkey"), F.lit(8)) * 8 + F.col("l_linenumber")).cast("int")
+    ink = li.select(F.col("s_nationkey").alias("object"), (F.col("l_orderkey") % side).cast("int").alias("y"), F.pmod(cell, F.lit(side)).alias("x"), "l_quantity")
+    dots = ink.groupBy("object", "y", "x").agg(F.sum("l_quantity").alias("v"))
+    # an image has side x side pixels, so its dots are few
+    image = dots.groupBy("object").agg(F.map_from_entries(F.collect_list(F.struct(F.col("y") * side + F.col("x"), "v"))).alias("m"), F.max("v").alias("top"))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) * 255.0 / F.col("top"))
+    return extract_keypoints(image.select("object", F.lit(side).alias("width"), F.lit(side).alias("height"), pixels.alias("pixels")))
