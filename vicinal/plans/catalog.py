@@ -212,9 +212,11 @@ _TOKENS = "select {1} as object, unnest(list_filter(string_split_regex(lower(tex
     select qid, row_number() over (partition by qid order by score desc, object) as rank, object, cast(score as double) as score from s qualify rank <= 10""",
 )
 def inverted_search(spark, sf):
-    # the number of hints of a pair is the product of a word's counts, summed: counted before the join
+    # the number of hints of a pair is the product of a word's counts, summed. Dealt by document once, words are
+    # counted, joined with the queries' words and summed where they are; only the best of a query move again.
     count = lambda df, k: df.groupBy(F.col("object").alias(k), F.col("feature").alias("value")).agg(F.count("*").alias(f"n_{k}"))
-    d, q = count(words(spark, sf, "documents", "doc_id"), "object"), count(words(spark, sf, "benchmark", "item_id"), "qid")
+    d = count(words(spark, sf, "documents", "doc_id").select("object", "feature").repartition("object"), "object")
+    q = count(words(spark, sf, "benchmark", "item_id"), "qid")
     s = d.join(q, "value").groupBy("qid", "object").agg(F.sum(F.col("n_object") * F.col("n_qid")).cast("double").alias("score"))
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "object"))
     return s.withColumn("rank", rank.cast("long")).where("rank <= 10").select("qid", "rank", "object", "score")
