@@ -36,7 +36,7 @@ RULES = [
 #: Words from which the small labelled table is put together.
 BAD_WORDS = "cheap-pills spam-farm casino-bonus free-prize fast-loans adult-chat replica-watches crack-warez click-win lucky-slots pills-online spam-links buy-followers hot-singles free-money miracle-diet betting-tips keygen-download phish-login malware-update casino-win free-bets adult-x".split()
 GOOD_WORDS = "news blog docs wiki library school museum weather garden science music recipes forum city research travel history health theater therapy other weather thread rather then there hand tion nation shore rest inner order entire letter".split() + [a + b for a in ("th", "ther", "ent", "tion", "thth", "thon") for b in ("in", "ing", "ly", "er", "ou", "th", "ha", "nd", "re")]
-SITES = ["{}.example.com", "www.{}.example.org", "{}.example.net", "blog.{}.example.com", "m.{}.example.org", "{}.org", "www.{}.com", "www.{}.example.net", "www.{}.example.com"]
+SITES = ["{}.example.com", "www.{}.example.org", "{}.example.net", "blog.{}.example.com", "m.{}.example.org", "{}.org", "www.{}.com", "www.{}.example.net", "www.{}.example.com", "blog.{}.example.org"]
 PATHS = ["/en/{}", "/{}.html", "/de/{}/", "/es/{}", "/fr/{}/"]
 
 
@@ -45,7 +45,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     rows = []
     for label, words in ((1, BAD_WORDS), (0, GOOD_WORDS)):
         for i, word in enumerate(words):
-            for k in range(4):
+            for k in range(8):
                 site, path = SITES[(i + k) % len(SITES)], PATHS[(i + 2 * k) % len(PATHS)]
                 rows.append((f"http://{site.format(word)}{path.format((i * 37 + k * 101) % 997)}", label))
     return spark.createDataFrame(rows, "url string, label int")
@@ -72,7 +72,7 @@ def buckets(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", decay: float = 0.00001, rounds: int = 40) -> list[float]:
+def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", decay: float = 0.0000001, rounds: int = 100) -> list[float]:
     """Weights of the buckets, the intercept last. Rows without a label are left out.
 
     A table without rows, or with one class only, gives weights that decide for that class (or allow).
