@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -20,17 +19,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Spark setting that removes an execution's shuffle files as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: later jobs, and retries after a lost executor, start from the files. The
-    writer's shuffle files are released as soon as the driver has collected its garbage.
+    writing job's shuffle files go when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vicinal-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()  # lets go of the plan, and with it of its shuffles
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "lz4").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
