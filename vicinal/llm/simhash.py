@@ -253,13 +253,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the smallest id's (of rows that repeat it, one)."""
-    printed = materialize(fingerprints(docs, text_col, name="__fp"), "printed")
-    prints = printed.select(F.col(id_col).alias("doc_id"), F.col("__fp").alias("fp"))
-    best = prints.join(components(prints), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b"))
-    kept = materialize(best.select(F.col("b.doc_id").alias("__id"), F.col("b.fp").alias("__kept")), "kept")
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept"))
-    rows = printed.join(kept, match, "left_semi")
-    if prints.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__kept")), "left_semi").count() > kept.count():
-        again = W.partitionBy(id_col, "__fp").orderBy(F.xxhash64(text_col))
+    check = F.xxhash64(text_col)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), check.alias("check"))
+    prints = materialize(fingerprints(slim, keep=["doc_id", "check"]), "prints")
+    # the row that stays, by id and checksum of its text, rows without an id last
+    best = prints.join(components(prints), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check")).alias("b"))
+    kept = materialize(best.select(F.col("b.doc_id").alias("__id"), F.col("b.check").alias("__kept")), "kept")
+    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (check == F.col("__kept")), "left_semi")
+    if prints.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("check") == F.col("__kept")), "left_semi").count() > kept.count():
+        again = W.partitionBy(id_col, check).orderBy(F.length(text_col))
         rows = rows.withColumn("__n", F.row_number().over(again)).where("__n = 1")
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -47,7 +47,7 @@ CALL = 1 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _ROOT = np.uint64(0xD6E8FEB86659FD93)
-_NAME_BITS, _CONTENT_BITS = 40, 56
+_NAME_BITS, _CONTENT_BITS = 32, 56
 
 
 # packed arrays
