@@ -32,6 +32,8 @@ GRAM = 5
 #: An n-gram belongs to a language if so many of its sampled texts have it.
 MIN_TEXTS = 3
 UNKNOWN = "und"
+#: Bytes of text that are worked on at once; each byte takes some 50 in between.
+BATCH_BYTES = 1 << 20
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _LETTER = np.full(256, 32, np.uint8)
@@ -108,7 +110,7 @@ def _count(languages: list[str]):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH_BYTES):
                 lang = np.array([index[x] for x in part.column(part.schema.get_field_index("lang")).to_pylist()], np.int64)
                 doc, gram = grams(part.column(part.schema.get_field_index("text")))
                 # an n-gram has 40 bits: with the text's number, and then the language's, it fits one key
@@ -154,4 +156,4 @@ def predict(docs: DataFrame, model: LanguageFilter | None, id_col: str = "doc_id
         found = [filt.languages[b] if s and filt else UNKNOWN for b, s in zip(best.tolist(), some)]
         return [pa.array(found, pa.string()), pa.array(np.where(some & (best >= 0), score, 0.0), pa.float64())]
 
-    return append_columns(docs, keep, [F.col(text_col), letters], compute, f"{names[0]} string, {names[1]} double")
+    return append_columns(docs, keep, [F.col(text_col), letters], compute, f"{names[0]} string, {names[1]} double", BATCH_BYTES)
