@@ -100,6 +100,14 @@ def test_suffix_dedup_many_spans_of_one_name(spark, monkeypatch):
     assert sorted(cut(df)) == sorted(cut_by_force(rows))
 
 
+def test_suffix_dedup_runs_of_one_byte(spark):
+    # one window in runs of more lengths than a text holds spans, the longest of them cut into pieces
+    rows = [(i * 17 % 41, f"{prose(9, 300 + i)}{'-' * (50 + i)}{prose(9, 400 + i)}") for i in range(41)]
+    rows += [(100 + i, f"{'_' * (190 - 3 * i)}{prose(4, 500 + i)} {'.' * (50 + 5 * i)}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(cut(df)) == sorted(cut_by_force(rows))
+
+
 def test_packed_arrays():
     a, b = np.arange(300, dtype=np.int64) << 40, np.array([], np.uint8)
     x, y = suffix_dedup.unpack(suffix_dedup.pack(a, b))

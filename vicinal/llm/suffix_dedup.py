@@ -344,19 +344,19 @@ def least_ids(raw: np.ndarray, start: np.ndarray, size: np.ndarray, name: np.nda
         order = np.lexsort((id_[parent], content, sub_name, name[parent]))
         doc, begin, sub_size, parent = doc[order], begin[order], sub_size[order], parent[order]
         names = np.cumsum(np.concatenate([[1], (name[parent][1:] != name[parent][:-1]) | (sub_name[order][1:] != sub_name[order][:-1])])) - 1
-        new = run_starts(names, content[order])
-        if level + 2 == len(NAMES):  # the name is the window: one content, and its first row has the least id
-            found = id_[parent[new]]
-            found_first = np.arange(len(new))
-            n_found = np.ones(len(new), np.int64)
+        n = sub_size - length + 1
+        if level + 2 == len(NAMES):  # the name is the window: each span is a run of it (of one byte), whatever its length
+            new = run_starts(names)
+            found = np.minimum.reduceat(id_[parent], new)
+            answer = np.repeat(np.repeat(found, np.diff(np.append(new, len(names)))), n)
         else:
+            new = run_starts(names, content[order])
             found = least_ids(part, begin[new], sub_size[new], names[new], id_[parent[new]], level + 1, length)
-            n_found = sub_size[new] - length + 1
-            found_first = np.cumsum(n_found) - n_found
-        which = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(names))))
-        n = n_found[which]
+            found_first = np.cumsum(n[new]) - n[new]
+            which = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(names))))
+            answer = found[spread(found_first[which], n)]
         to = first[parent] + begin - off[doc]
-        np.minimum.at(out, spread(to, n), found[spread(found_first[which], n)])
+        np.minimum.at(out, spread(to, n), answer)
     return out
 
 
