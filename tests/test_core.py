@@ -9,6 +9,7 @@ from vicinal.domain import DOMAINS, Domain
 from vicinal.errors import ConfigError, KeyExistsError, PermissionDenied, RequestError
 from vicinal.functions import similarity as sim
 from vicinal.functions import text
+from vicinal.operators import indexes
 from vicinal.operators.emd import emd, emd_metric, emd_signatures, transport
 from vicinal.operators.indexes import KGraph, Linear, Lsh
 from vicinal.operators.matchers import Counting, Trivial
@@ -88,6 +89,17 @@ def test_nndescent_and_graph_search_recall(spark):
     assert np.mean([any(h["qid"] == i and h["object"] == i for h in hits) for i in range(0, 300, 10)]) >= 0.9
 
 
+def test_nndescent_of_many_groups(spark, monkeypatch):
+    # as many groups, for their size, as a table of 100,000 entries has
+    monkeypatch.setattr(indexes, "GROUP", 15)
+    x, e = vectors(spark, n=300, dim=4)
+    graph = KGraph(4, K=8, L=16, S=8, iterations=8).descent(e, sim.SIMILARITIES["l2"]).collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    best = {(i, int(j)) for i in range(300) for j in np.argsort(d[i])[:8]}
+    assert len(best & {(r["src"], r["dst"]) for r in graph}) / len(best) > 0.9
+
+
 def test_emd():
     c = np.array([[0.0, 1.0], [1.0, 0.0]])
     assert emd([1, 0], [0, 1], c) == pytest.approx(1.0)

@@ -18,6 +18,8 @@ from ..storage import materialize
 
 #: Query features that may be broadcast at once.
 QUERY_BLOCK = 5_000
+#: Entries of a random group from which NN-descent takes its first neighbours, about.
+GROUP = 5_000
 
 
 def _blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> list[DataFrame]:
@@ -223,11 +225,14 @@ class KGraph:
             pos = F.row_number().over(W.partitionBy("src").orderBy("dist", "dst"))
             return one.withColumn("pos", pos).where(F.col("pos") <= self.L)
 
-        # first neighbours: each entry with a few that follow it in several random orders
+        # first neighbours: each entry with S or more that are near it in several random orders
         first = None
         for r in range(4):
-            slot = F.ntile(max(1, n // (self.S + 1))).over(W.partitionBy(F.pmod(F.xxhash64("id", F.lit(self.seed + 97 * r)), F.lit(max(1, n // 5000)))).orderBy(F.xxhash64("id", F.lit(self.seed + r))))
-            dealt = features.select("id", F.pmod(F.xxhash64("id", F.lit(self.seed + 97 * r)), F.lit(max(1, n // 5000))).alias("g"), slot.alias("slot"))
+            g = F.pmod(F.xxhash64("id", F.lit(self.seed + 97 * r)), F.lit(max(1, n // GROUP)))
+            row = F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("id", F.lit(self.seed + r)), "id")) - 1
+            size = F.count("*").over(W.partitionBy("g"))
+            tiles = F.greatest(F.lit(1), F.floor(F.col("size") / (self.S + 1)))  # of the group's own size
+            dealt = features.select("id", g.alias("g")).select("id", "g", row.alias("row"), size.alias("size")).select("id", "g", F.floor(F.col("row") * tiles / F.col("size")).alias("slot"))
             pairs = dealt.alias("a").join(dealt.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
             first = pairs if first is None else first.unionByName(pairs)
         pool = materialize(best(with_distance(first.distinct())), "graph")
