@@ -153,6 +153,26 @@ def test_language_filter_and_edges(spark, docs, none):
     assert ((f.contained(gram) & mask.astype(np.uint8)) == mask).all()
 
 
+def test_many_languages(spark):
+    """More languages than a word has bits, one text in each document of a language."""
+    letters = np.random.default_rng(3)
+    texts = [" ".join("".join(letters.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)) for _ in range(70)]
+    rows = [(i, texts[i % 70], f"l{i % 70:02}") for i in range(70 * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    assert langid.predict(docs, model).where("lang <> lang_pred").count() == 0
+
+
+def test_small_language_beside_many_grams(spark):
+    """A language of few texts keeps its n-grams where a large one has over a million."""
+    long = [bytes(x).decode() for x in np.random.default_rng(5).integers(97, 123, (1, 1_300_000), np.uint8)] * 12
+    rows = [(i, t, "big") for i, t in enumerate(long)] + [(100 + i, "zwölf Boxkämpfer jagen Viktor quer über den Sylter Deich", "few") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs.where("doc_id = 0 or lang = 'few'"), langid.learn(docs), keep=["lang"]).collect()
+    assert len(got) == 7 and all(r["lang"] == r["lang_pred"] for r in got)
+
+
 def test_language_accuracy(spark, sf):
     docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
     got = langid.predict(docs, langid.learn(docs)).where(langid.held_out())

@@ -6,7 +6,9 @@ language over a text's n-grams, the expected false positives of that language's
 out, and the largest corrected count decides.
 
 Learning uses at most about ``SAMPLE`` labelled texts of each language (picked by a hash of the id;
-the bound is a parameter) and at most ``MAX_GRAMS`` n-grams; prediction reads whole texts.
+the bound is a parameter), of every language, and keeps all n-grams of these texts; prediction reads
+whole texts. The filter has a word of bits for every 64 languages, and rows by the language with the most
+n-grams, so its size follows from the sample and the number of languages.
 
 Nulls, empty texts and texts without a letter get ``und`` with score 0. Without labelled rows every text does.
 A text whose letters make no known n-gram gets the commonest language with score 0. Repeated rows and rows with equal ids are predicted one by one. Equal counts go to the
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import append_columns, buffers, slices
 
 SAMPLE = 2000
-MAX_LANGUAGES = 64
-MAX_GRAMS = 1 << 20
+#: Languages in a word of a row.
+WORD = 64
+#: Rows at least; there are more where a language has over an eighth as many n-grams.
 ROWS_LOG2 = 22
 HASHES = 3
 GRAM = 5
@@ -64,29 +67,39 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return doc[:n][whole], wide[whole]
 
 
-def positions(gram: np.ndarray, k: int) -> np.ndarray:
+def positions(gram: np.ndarray, k: int, rows_log2: int = ROWS_LOG2) -> np.ndarray:
     mixed = gram * _M[k]
-    return ((mixed ^ (mixed >> np.uint64(31))) * _M[(k + 1) % 3]) >> np.uint64(64 - ROWS_LOG2)
+    return ((mixed ^ (mixed >> np.uint64(31))) * _M[(k + 1) % 3]) >> np.uint64(64 - rows_log2)
 
 
 class LanguageFilter:
-    """Bit-sliced Bloom filter over languages; its size depends on ROWS_LOG2 and the languages only."""
+    """Bit-sliced Bloom filter over languages, in words of 64 of them.
 
-    def __init__(self, languages: list[str], gram: np.ndarray, mask: np.ndarray, common: int = 0):
+    ``mask`` has bits of the languages of one word; ``word`` says which (the first, if not given).
+    """
+
+    def __init__(self, languages: list[str], gram: np.ndarray, mask: np.ndarray, common: int = 0, word: np.ndarray | None = None):
         self.languages = languages
         self.common = common
-        kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint32 if len(languages) <= 32 else np.uint64
-        self.rows = np.zeros(1 << ROWS_LOG2, kind)
-        for k in range(HASHES):
-            np.bitwise_or.at(self.rows, positions(gram, k), mask.astype(kind))
-        fill = [float(np.mean((self.rows >> kind(b)) & kind(1))) for b in range(len(languages))]
-        self.false_rate = [f**HASHES for f in fill]
-
-    def contained(self, gram: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages that contain each n-gram."""
-        found = self.rows[positions(gram, 0)]
+        word = np.zeros(len(gram), np.int64) if word is None else word
+        parts = [(languages[at : at + WORD], gram[word == at // WORD], mask[word == at // WORD]) for at in range(0, len(languages), WORD)]
+        most = max(int(np.count_nonzero(m & np.uint64(1 << b))) for some, _, m in parts for b in range(len(some)))
+        self.rows_log2 = max(ROWS_LOG2, (8 * most - 1).bit_length())
+        self.words, self.false_rate = [], []
+        for some, g, m in parts:
+            kind = np.uint8 if len(some) <= 8 else np.uint16 if len(some) <= 16 else np.uint32 if len(some) <= 32 else np.uint64
+            rows = np.zeros(1 << self.rows_log2, kind)
+            for k in range(HASHES):
+                np.bitwise_or.at(rows, positions(g, k, self.rows_log2), m.astype(kind))
+            self.words.append(rows)
+            self.false_rate += [float(np.mean((rows >> kind(b)) & kind(1))) ** HASHES for b in range(len(some))]
+
+    def contained(self, gram: np.ndarray, word: int = 0) -> np.ndarray:
+        """Bitmask of the word's languages that contain each n-gram."""
+        rows = self.words[word]
+        found = rows[positions(gram, 0, self.rows_log2)]
         for k in range(1, HASHES):
-            found = found & self.rows[positions(gram, k)]
+            found = found & rows[positions(gram, k, self.rows_log2)]
         return found
 
     def decide(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +107,13 @@ class LanguageFilter:
         doc, gram = grams(texts)
         n = len(texts)
         total = np.bincount(doc, minlength=n).astype(float)
-        found = self.contained(gram)
         counts = np.zeros((n, len(self.languages)))
-        for b, rate in enumerate(self.false_rate):
+        for i, rate in enumerate(self.false_rate):
+            w, b = divmod(i, WORD)
+            if b == 0:
+                found = self.contained(gram, w)
             seen = np.bincount(doc[((found >> found.dtype.type(b)) & found.dtype.type(1)).astype(bool)], minlength=n)
-            counts[:, b] = np.maximum(0.0, (seen - rate * total) / max(1e-9, 1 - rate))
+            counts[:, i] = np.maximum(0.0, (seen - rate * total) / max(1e-9, 1 - rate))
         best = counts.argmax(axis=1)
         top = counts[np.arange(n), best]
         score = np.divide(top, total, out=np.zeros(n), where=total > 0)
@@ -113,10 +128,10 @@ def _count(languages: list[str]):
             for part in slices(batch, "text", BATCH_BYTES):
                 lang = np.array([index[x] for x in part.column(part.schema.get_field_index("lang")).to_pylist()], np.int64)
                 doc, gram = grams(part.column(part.schema.get_field_index("text")))
-                # an n-gram has 40 bits: with the text's number, and then the language's, it fits one key
+                # an n-gram has 40 bits: with the text's number, and then the language's (23 bits), it fits one key
                 pair = np.unique((gram.astype(np.int64) << 20) | doc)
-                key, n = np.unique(((pair >> 20) << 6) | lang[pair & 0xFFFFF], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key >> 6, pa.int64()), pa.array((key & 63).astype(np.int32), pa.int32()), pa.array(n.astype(np.int64), pa.int64())], ["gram", "lang", "n"])
+                key, n = np.unique(((pair >> 20) << 23) | lang[pair & 0xFFFFF], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key >> 23, pa.int64()), pa.array((key & 0x7FFFFF).astype(np.int32), pa.int32()), pa.array(n.astype(np.int64), pa.int64())], ["gram", "lang", "n"])
 
     return run
 
@@ -124,28 +139,26 @@ def _count(languages: list[str]):
 def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageFilter | None:
     """A filter learned from a bounded sample of the rows that are not held out; None without such rows."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return None
     commonest = sizes[0]["lang"]
     sizes.sort(key=lambda r: r["lang"])
     languages = [r["lang"] for r in sizes]
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30))
-    picked = None
-    for r in sizes:
-        this = (F.col(lang_col) == r["lang"]) & (draw < int((1 << 30) * min(1.0, sample / r["count"])))
-        picked = this if picked is None else picked | this
-    counted = rows.where(picked).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(_count(languages), "gram long, lang int, n long")
+    share = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, sample / r["count"]))) for r in sizes], "lang string, below long")
+    drawn = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw")).join(F.broadcast(share), "lang").where(F.col("draw") < F.col("below"))
+    counted = drawn.select("text", "lang").mapInArrow(_count(languages), "gram long, lang int, n long")
     known = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TEXTS)
-    masks = known.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, lang)")).alias("mask"), F.sum("n").alias("n"))
-    found = masks.orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).select("gram", "mask").toArrow()  # MAX_GRAMS rows at most
-    return LanguageFilter(languages, found["gram"].to_numpy().astype(np.uint64), found["mask"].to_numpy().astype(np.uint64), languages.index(commonest))
+    found = known.select("gram", "lang").toArrow()  # of the sampled texts
+    lang = found["lang"].to_numpy().astype(np.int64)
+    return LanguageFilter(languages, found["gram"].to_numpy().astype(np.uint64), np.uint64(1) << (lang % WORD).astype(np.uint64), languages.index(commonest), lang // WORD)
 
 
 def predict(docs: DataFrame, model: LanguageFilter | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The kept columns (all, if not given), the predicted language and its score; lang, source and id play no part."""
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
     def compute(inputs):
         filt, some = shared.value, np.asarray(inputs[1])
