@@ -294,6 +294,13 @@ def test_blocks():
     assert len(texts("<p>w</p>" * 5000)) == 5000
 
 
+def test_blocks_after_custom_and_self_closed_elements():
+    texts = lambda h: [b.text for b in html_text.blocks(h)]
+    assert texts("<video-js id=v></video-js><p>a</p><template-card>t</template-card><p>b</p>") == ["a", "t", "b"]
+    assert texts('<p><svg class="i" title="x>y" viewBox="0 0 1 1"/>a</p><math/><p>b<svg><path d="M0"/><text>no</text></svg>c</p>') == ["a", "bc"]
+    assert texts("<p>a</p><video src=x>no</video><script\n>no</script><svg>no</svg><p>b</p><style>no") == ["a", "b"]
+
+
 def test_html_extraction(spark, sf):
     rng = np.random.default_rng(77)
     model = html_text.trained()

@@ -4,7 +4,8 @@ A page is cut into blocks (runs of text between block-level tags), each with the
 open around it. A block becomes a vector of hashed path parts (tag names, classes, ids), hashed words
 and a few measures (length, share of link text, depth, place). A bidirectional LSTM in numpy reads the
 vectors of all blocks of a page in order and says of each, with the whole page as context, whether it
-belongs to the article. Scripts, styles and markup are never blocks.
+belongs to the article. Scripts, styles and markup are never blocks; self-closed ``svg`` and ``math`` are
+empty, and custom elements (``video-js``) are tags like others.
 
 The labeller is trained on pages that ``sample_page`` makes up, with known labels; the training is
 seeded and takes a few seconds.
@@ -45,7 +46,7 @@ CLOSES_P = BLOCK - {"label", "button", "option"}
 SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video"
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>|<({SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
