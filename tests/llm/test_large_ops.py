@@ -230,6 +230,27 @@ def test_proximity(spark):
     assert hit() == [] and hit(slop=0) == [2] and hit(slop=2) == [1, 2] and hit(slop=5) == [1, 2, 4]
 
 
+def test_proximity_by_force(spark):
+    """All documents in one segment; matches that end a document and matches that overlap."""
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(r.choice(list("abcdefgh"), int(n)))) for i, n in enumerate(r.integers(0, 14, 80))] + [(90, "c b a"), (91, "h")]
+    items = ["a b c", "d e", "a g h f"]
+    index = decontaminate.stored_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert index.count() == 1
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for slop in (0, 2, 5):
+        want = {}
+        for d, t in rows:
+            w, hit = t.split(), set()
+            for need in map(str.split, items):
+                for a in range(len(w)):
+                    part = w[a : a + len(need) + slop]
+                    if w[a] in need and set(need) <= set(part):
+                        hit.update(range(a, a + len(part)))
+            want[d] = len(hit)
+        assert {x["doc_id"]: x["n_hit"] for x in decontaminate.match(index, bench, slop=slop).collect()} == want
+
+
 # neighbours
 
 

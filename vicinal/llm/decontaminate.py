@@ -160,31 +160,26 @@ class Segment:
         return (np.concatenate(found_w), np.concatenate(found_s)) if found_w else (none, none)
 
     def near(self, windows: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window row, start) of spans of ``width + slop`` words in one document that hold all the window's words, in any order.
+        """(window row, start) of spans of ``width + slop`` words that hold all the window's words, in any order.
 
-        A span starts at an occurrence of one of the words; overlapping spans of a window are given once.
+        A span starts at an occurrence of one of the words and ends with its document at the latest; spans may overlap.
         """
         span = windows.shape[1] + slop
         out_w, out_s = [], []
         for w in np.flatnonzero((self.length[windows] > 0).all(axis=1)):
-            terms = np.unique(windows[w])
+            terms = sorted(np.unique(windows[w]), key=lambda t: self.length[t])
             lists = {t: self.postings[self.begin[t] : self.begin[t] + self.length[t]].astype(np.int64) for t in terms}
-            rare = lists[min(terms, key=lambda t: self.length[t])]
-            starts = np.concatenate(list(lists.values()))
+            starts = np.sort(np.concatenate(list(lists.values())))
+            end = np.minimum(starts + span, self.first[self.doc_of(starts) + 1])
             # only starts that have the rarest word in reach, then the other words one by one
-            for t in sorted(terms, key=lambda t: self.length[t]):
+            for t in terms:
                 i = np.searchsorted(lists[t], starts)
-                starts = starts[(i < len(lists[t])) & (lists[t][np.minimum(i, len(lists[t]) - 1)] < starts + span)]
-            starts = np.sort(starts)
-            end = np.minimum(starts + span, len(self.at)) - 1
-            starts = starts[self.doc_of(starts) == self.doc_of(end)] if len(rare) else starts[:0]
-            last = -span
-            for s in starts.tolist():
-                if s >= last + span:
-                    out_w.append(w)
-                    out_s.append(s)
-                    last = s
-        return np.array(out_w, np.int64), np.array(out_s, np.int64)
+                ok = (i < len(lists[t])) & (lists[t][np.minimum(i, len(lists[t]) - 1)] < end)
+                starts, end = starts[ok], end[ok]
+            out_w.append(np.full(len(starts), w))
+            out_s.append(starts)
+        none = np.empty(0, np.int64)
+        return (np.concatenate(out_w), np.concatenate(out_s)) if out_w else (none, none)
 
 
 def _search(shared, slop: int | None):
