@@ -100,6 +100,15 @@ def test_nndescent_of_many_groups(spark, monkeypatch):
     assert len(best & {(r["src"], r["dst"]) for r in graph}) / len(best) > 0.9
 
 
+def test_graph_search_goes_on_to_the_end(spark):
+    # a chain of 30 entries and two seeds: one of three queries is over six steps away from both
+    e = spark.createDataFrame([(i, 0, [float(i)]) for i in range(30)], "object long, dtag int, feature array<float>").coalesce(1).cache()
+    graph = spark.createDataFrame([(i, j) for i in range(30) for j in (i - 1, i + 1) if 0 <= j < 30], "src long, dst long").coalesce(1).cache()
+    q = with_limits(queries(e.where("object in (0, 15, 29)"), hint_K=1), -1, -1).cache()
+    hits = KGraph(1, P=2).search_graph(q, e, graph, sim.SIMILARITIES["l2"])
+    assert {r["qid"]: r["object"] for r in hits.collect()} == {0: 0, 15: 15, 29: 29}
+
+
 def test_emd():
     c = np.array([[0.0, 1.0], [1.0, 0.0]])
     assert emd([1, 0], [0, 1], c) == pytest.approx(1.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -194,7 +195,7 @@ class KGraph:
     The graph is a table (src, pos, dst, dist). Below ``minimum`` entries there is no graph and search is linear.
     """
 
-    def __init__(self, dim: int | None = None, minimum: int = 10_000, K: int = 25, L: int = 50, S: int = 10, iterations: int = 12, delta: float = 0.002, P: int = 100, T: int = 1, steps: int = 6, seed: int = 1):
+    def __init__(self, dim: int | None = None, minimum: int = 10_000, K: int = 25, L: int = 50, S: int = 10, iterations: int = 12, delta: float = 0.002, P: int = 100, T: int = 1, steps: int | None = None, seed: int = 1):
         self.dim, self.minimum, self.K, self.L, self.S, self.iterations, self.delta = dim, minimum, K, L, S, iterations, delta
         self.P, self.T, self.steps, self.seed = P, T, steps, seed
 
@@ -259,7 +260,8 @@ class KGraph:
     def search_graph(self, queries: DataFrame, entries: DataFrame, graph: DataFrame, measure: Similarity) -> DataFrame:
         """Best-first expansion as joins: a pool of the P best per query grows by its members' neighbours.
 
-        Every trial starts from P seeded entries; each step expands the pool's members that haven't been expanded.
+        Every trial starts from P seeded entries; each step expands the pool's members that haven't been expanded,
+        until there are none (a caller may set a bound, ``steps``).
         Where P reaches the number of entries, search is linear.
         """
         if self.P >= entries.count():
@@ -271,7 +273,7 @@ class KGraph:
             order = F.xxhash64("object", F.lit(self.seed + trial))
             seeds = entries.orderBy(order, "object").limit(self.P).select("object", "dtag", "feature")  # P rows
             pool = _measured_all(seeds.crossJoin(asked), measure, self.dim).withColumn("open", F.lit(True))
-            for _ in range(self.steps):
+            for _ in itertools.count() if self.steps is None else range(self.steps):
                 near = F.col("distance") * F.lit(-measure.polarity)
                 rank = F.row_number().over(W.partitionBy("qid", "qtag").orderBy(near, "object"))
                 pool = materialize(pool.withColumn("rank", rank).where(F.col("rank") <= F.col("hint_K") + self.P).drop("rank"), "pool")

@@ -341,7 +341,7 @@ def kgraph_nndescent(spark, sf):
 @query("kgraph_search")
 def kgraph_search(spark, sf):
     measure = SIMILARITIES["l2"]
-    g = KGraph(DIM, K=20, P=40, steps=3)
+    g = KGraph(DIM, K=20, P=40)
     e = entries(spark, sf)
     graph = g.exact_graph(e, measure)
     q = with_limits(asked(spark, sf, K=5, hint_K=5), -1, -1)
