@@ -323,9 +323,9 @@ def knn_graph_exact(spark, sf):
 
 @query("delta_merge", _topk_sql(_D["l2"], 5))
 def delta_merge(spark, sf):
-    """An exact graph over part of the entries, a scan of the rest: together as good as the linear index."""
+    """The merge of indexed entries and unindexed tail only: P is above their number, so both halves are exact scans and no graph is read."""
     e = entries(spark, sf).withColumn("indexed", F.col("object") % 5 != 0)
-    g = KGraph(DIM, K=10, P=1 << 30)  # as many seeds as entries: the graph search falls back to the exact scan
+    g = KGraph(DIM, K=10, P=1 << 30)
     q = with_limits(asked(spark, sf, K=5, hint_K=5), -1, -1)
     graph = spark.createDataFrame([], "src long, pos int, dst long, dist double")
     from .search import final_topk
