@@ -201,10 +201,13 @@ def test_urls(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert verdict in (None, r["verdict"]) and r["verdict"] in ("allow", "block")
     # the model, against the same sum in plain Python over Spark's hashes
-    texts = spark.createDataFrame([("casino-bonus.example.org/en/3",), ("ab",), ("",)], "t string")
+    texts = spark.createDataFrame([("jackpot-poker.info/3",), ("ab",), ("",)], "t string")
     rows = texts.select("t", url_filter.buckets(F.col("t")).alias("b"), url_filter.probability(F.col("t"), weights).alias("p")).collect()
     for r in rows:
-        assert len(r["b"]) == max(0, len(r["t"]) - 2) + max(0, len(r["t"]) - 3)
+        t = r["t"]
+        want = [t[i : i + n] for n in (3, 4) for i in range(len(t) - n + 1)]
+        hashed = spark.createDataFrame([(i, g) for i, g in enumerate(want)], "i int, g string").orderBy("i").select(F.pmod(F.xxhash64("g"), F.lit(url_filter.BUCKETS)).alias("h"))
+        assert r["b"] == [h["h"] for h in hashed.collect()]
         counts = np.bincount(r["b"], minlength=url_filter.BUCKETS) if r["b"] else np.zeros(url_filter.BUCKETS)
         z = counts @ np.array(weights[:-1]) / (np.linalg.norm(counts) or 1) + weights[-1]
         assert r["p"] == pytest.approx(1 / (1 + np.exp(-z)))
@@ -215,6 +218,29 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), weights).count() == 0
 
 
+def test_url_model_on_sites_it_never_saw(spark, sf):
+    """A tenth of the word pairs is kept from training; their sites are judged right, and no word of the table is a host's."""
+    used = lambda a, b: zlib.crc32(f"{a} {b}".encode()) % 10 != 0
+    known = url_filter.labelled_urls(spark, used)
+    rest = url_filter.labelled_urls(spark).join(known, "url", "left_anti").where("label = 1 or url rlike '[a-z]{7}'")
+    weights = url_filter.train(known)
+    p = url_filter.probability(F.concat(*url_filter.host_path(F.col("url"))), weights)
+    assert rest.count() > 100 and rest.where((p >= 0.5).cast("int") == F.col("label")).count() / rest.count() > 0.97
+    pages = spark.read.parquet(sf.replace("0.001", "0.1") + "/pages.parquet")
+    hosts = {r[0] for r in pages.select(url_filter.host_path(F.col("url"))[0]).distinct().collect()}
+    words = {w for h in hosts for label in h.split(".") for w in label.split("-")}
+    assert not words & set(url_filter.BLOCK_WORDS + url_filter.ALLOW_WORDS)
+    assert not hosts & {r[0] for r in url_filter.labelled_urls(spark).select(url_filter.host_path(F.col("url"))[0]).collect()}
+
+
+def test_large_labelled_table(spark):
+    """A table over the bound is cut by hash, for each label: where labels sort doesn't matter, and both stay."""
+    rows = [(f"http://{'a' if i % 3 else 'z'}{i}.{'garden' if i % 3 else 'poker'}.com/", int(i % 3 == 0)) for i in range(2 * url_filter.MAX_LABELLED)]
+    weights = url_filter.train(spark.createDataFrame([*rows, (None, 1), ("http://x.poker.com", None)], "url string, label int"))
+    asked = spark.createDataFrame([(1, "http://new.poker.net/"), (2, "http://new.garden.net/")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(asked, weights).collect()} == {1: "block", 2: "allow"}
+
+
 def test_arrow_helpers():
     from vicinal.llm.common import buffers, run_starts, slices, spread
 
