@@ -44,8 +44,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    streams = materialize(token_counts.write_streams(table(spark, sf_dir, "documents")), "tokens")
-    return token_counts.count_tokens(streams)
+    streams = materialize(token_counts.write_streams(table(spark, sf_dir, "documents"), id_col="doc_id"), "tokens")
+    return token_counts.count_tokens(streams).withColumnRenamed("name", "doc_id")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,8 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         chars = _byte_chars()
         ranks = {bytes(chars[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
@@ -54,6 +56,12 @@ class Encoder:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.fast.encode_ordinary(text), "<u4")
 
+    def ordinary(self, text: str | None) -> np.ndarray:
+        """Ids with the strings of special tokens read as ordinary text: no special id ever comes out."""
+        if text and any(s in text for s in self.special):
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.encode(text)
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
