@@ -1,20 +1,24 @@
 """Sharding by fixed virtual slots.
 
 Records hash into a fixed number of virtual slots; bytes and rows are summed per slot; a versioned
-slot-to-shard map says which shard holds a slot. Rebalancing edits the map and never rehashes a
-record, so only the slots whose entry changed move.
+slot-to-shard map, stored as a table, says which shard holds a slot. Rebalancing edits the last stored
+version and never rehashes a record, so only the slots whose entry changed move.
 
 Laws
 ----
 * ``bytes``: after a rebalance the shards' bytes are near equal (as near as whole slots allow).
+* Rows that are equal in id and text share one hash. Where such rows are many (more than ``HOT_SHARE`` of a slot's
+  mean bytes), each takes the slot of its hash and of a random number of its own, so they spread over all slots;
+  that number comes from the row's place in the table, so a retried task gives it again.
 * Nulls: a null text has no bytes (size 8), a null id hashes like any value.
-* Empty tables give empty results; repeated rows are rows of their own.
-* A hot id or group of equal texts does not matter: the slot comes from id and content of a row
-  together, and no task holds more than one slot's (id, size, checksum) at a time.
+* Texts of any length count by their bytes; one text larger than a shard's share leaves that shard the fullest.
+* Empty tables give empty results; repeated rows are rows of their own; ties in a slot go by id, checksum and size.
+* Only id and text are read; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import materialize, shared_folder, text_bytes
 
 #: Bytes that a record takes besides its text.
 ROW_OVERHEAD = 8
 DEFAULT_SLOTS = 4096
+#: Equal rows with more than this share of a slot's mean bytes are dealt over all slots.
+HOT_SHARE = 0.25
 
 
 @dataclass
@@ -110,19 +116,55 @@ class SlotMap:
         return self._edited(shard, new + 1)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """The map as a table (version, slot, shard)."""
-        return spark.createDataFrame([(self.version, i, s) for i, s in enumerate(self.shards)], "version int, vslot int, shard int")
+        """The map as a table (version, vslot, shard, moved_from): one row for each slot."""
+        moved = {slot: was for version, slot, was, _ in self.history if version == self.version}
+        return spark.createDataFrame([(self.version, self.n_shards, i, s, moved.get(i)) for i, s in enumerate(self.shards)], f"version int, {MAP}")
+
+    def store(self, spark: SparkSession, path: str) -> None:
+        """Adds this version to the stored map; a version is never written twice."""
+        if (last := SlotMap.load(spark, path)) is not None and last.version >= self.version:
+            raise ValueError(f"version {self.version} is stored already")
+        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """The last stored version (or the one asked for); None if there is none."""
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return None
+        rows = spark.read.schema(f"{MAP}, version int").parquet(path)
+        last = rows.where(F.col("version") <= version) if version else rows
+        last = last.agg(F.max("version")).first()[0]
+        if last is None:
+            return None
+        own = rows.where(F.col("version") == last).orderBy("vslot").collect()  # one row for each slot
+        edits = [(last, r["vslot"], r["moved_from"], r["shard"]) for r in own if r["moved_from"] is not None]
+        return cls([r["shard"] for r in own], own[0]["n_shards"], last, edits)
+
+
+MAP = "n_shards int, vslot int, shard int, moved_from int"
 
 
 def with_slots(docs: DataFrame, n_slots: int = DEFAULT_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, vslot) of each record; all built-in functions, text is read once and dropped."""
+    """(doc_id, size, text_crc32, vslot) of each record; all built-in functions, text is read once and dropped.
+
+    Equal rows that are too many for one slot are found first, by bytes summed in the map tasks.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (text_bytes(text_col) + F.lit(ROW_OVERHEAD)).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n_slots)).cast("int").alias("vslot"),
+        F.xxhash64(F.col(id_col), text).alias("hash"),
     )
+    rows = materialize(rows.withColumn("place", F.monotonically_increasing_id()), "records")
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # at most n_slots / HOT_SHARE hashes hold so many bytes
+    hot = rows.groupBy("hash").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("bytes") > HOT_SHARE * total / n_slots))
+    rows = rows.join(F.broadcast(hot.select("hash", F.lit(True).alias("hot"))), "hash", "left")
+    key = F.when(F.col("hot"), F.xxhash64("hash", "place")).otherwise(F.col("hash"))
+    return rows.select("doc_id", "size", "text_crc32", F.pmod(key, F.lit(n_slots)).cast("int").alias("vslot"))
 
 
 def slot_totals(slotted: DataFrame) -> DataFrame:
@@ -150,12 +192,36 @@ def place(slotted: DataFrame, totals: list, slot_map: SlotMap) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = DEFAULT_SLOTS) -> tuple[DataFrame, SlotMap]:
-    """Place all documents into shards 0..n_shards-1 under the law ``bytes``; returns the rows and the map."""
-    slotted = with_slots(docs, n_slots)
-    totals = slot_totals(slotted).collect()  # at most n_slots rows
+def slot_bytes(totals: list, n_slots: int) -> np.ndarray:
     sizes = np.zeros(n_slots, np.int64)
     for r in totals:
         sizes[r["vslot"]] = r["bytes"]
-    slot_map = SlotMap.initial(n_slots, n_shards).rebalanced(sizes)
-    return place(slotted, totals, slot_map).withColumn("map_version", F.lit(slot_map.version)), slot_map
+    return sizes
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = DEFAULT_SLOTS, map_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, SlotMap]:
+    """Place all documents into shards 0..n_shards-1 under the law ``bytes``; returns the rows and the map.
+
+    The map at ``map_path`` (a folder of its own in the shared one, if not given) is loaded; its last version is
+    rebalanced for these documents, and the edited version is stored. A map that needs no edit stays as it is.
+    More shards than the map has are added one by one; fewer can't be had from a stored map.
+    """
+    spark = docs.sparkSession
+    path = map_path or f"{shared_folder(spark)}/vicinal-slots-{uuid.uuid4().hex}"
+    slotted = with_slots(docs, n_slots, id_col, text_col)
+    totals = slot_totals(slotted).collect()  # at most n_slots rows
+    sizes = slot_bytes(totals, n_slots)
+    last = SlotMap.load(spark, path)
+    if last is None:
+        last = SlotMap.initial(n_slots, n_shards)
+        last.store(spark, path)
+    if len(last.shards) != n_slots or last.n_shards > n_shards:
+        raise ValueError(f"the stored map has {len(last.shards)} slots and {last.n_shards} shards")
+    while last.n_shards < n_shards:
+        last = last.grown(sizes)
+        last.store(spark, path)
+    new = last.rebalanced(sizes)
+    if new.shards != last.shards:
+        new.store(spark, path)
+        last = new
+    return place(slotted, totals, SlotMap.load(spark, path)).withColumn("map_version", F.lit(last.version)), last
