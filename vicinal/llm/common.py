@@ -85,9 +85,10 @@ def append_columns(docs: DataFrame, keep: list[str] | None, inputs: list[F.Colum
 
     ``keep`` names the columns of ``docs`` to return (all, if None). ``inputs`` are evaluated by Spark
     and handed to ``compute`` as a list of arrays; it returns the new columns, whose schema is ``new``.
-    Batches are cut by the bytes of the first input.
+    Batches are cut by the bytes of the first input. Columns called like a new one are left out.
     """
-    columns = docs.columns if keep is None else keep
+    new_names = {c.strip().rsplit(" ", 1)[0].strip("`").lower() for c in new.split(",")}
+    columns = [c for c in docs.columns if c.lower() not in new_names] if keep is None else keep
     rows = docs.select(*(F.col(f"`{c}`") for c in columns), *(c.alias(f"__in{i}") for i, c in enumerate(inputs)))
     n = len(columns)
     names = [c.strip().rsplit(" ", 1)[0].strip("`") for c in new.split(",")]

@@ -5,14 +5,15 @@ AND of an n-gram's rows is the set of all languages that contain it. The bits ar
 language over a text's n-grams, the expected false positives of that language's slice are taken
 out, and the largest corrected count decides.
 
-Learning uses at most about ``SAMPLE`` labelled texts of each language (picked by a hash of the id;
-the bound is a parameter), of every language, and keeps all n-grams of these texts; prediction reads
-whole texts. The filter has a word of bits for every 64 languages, and rows by the language with the most
+Learning uses about ``SAMPLE`` labelled texts of each language (picked by a hash of id and text; at most
+twice as many; the bound is a parameter), of every language, and keeps all n-grams that ``MIN_TEXTS`` of them
+share, or all of a language with few texts; prediction reads whole texts. The filter has a word of bits for every 64 languages, and rows by the language with the most
 n-grams, so its size follows from the sample and the number of languages.
 
 Nulls, empty texts and texts without a letter get ``und`` with score 0. Without labelled rows every text does.
-A text whose letters make no known n-gram gets the commonest language with score 0. Repeated rows and rows with equal ids are predicted one by one. Equal counts go to the
-language that sorts first.
+A text whose letters make no known n-gram gets the commonest language with score 0. Repeated rows and rows with
+equal ids are predicted one by one. Equal counts go to the language that sorts first. Empty tables give no rows.
+A column of the table that is called like a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import append_columns, buffers, slices
@@ -32,8 +34,9 @@ WORD = 64
 ROWS_LOG2 = 22
 HASHES = 3
 GRAM = 5
-#: An n-gram belongs to a language if so many of its sampled texts have it.
+#: An n-gram belongs to a language if so many of its sampled texts have it; any one will do if it has under MANY_TEXTS.
 MIN_TEXTS = 3
+MANY_TEXTS = 50
 UNKNOWN = "und"
 #: Bytes of text that are worked on at once; each byte takes some 50 in between.
 BATCH_BYTES = 1 << 20
@@ -145,12 +148,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     commonest = sizes[0]["lang"]
     sizes.sort(key=lambda r: r["lang"])
     languages = [r["lang"] for r in sizes]
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7)), F.lit(1 << 30))
     share = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, sample / r["count"]))) for r in sizes], "lang string, below long")
     drawn = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw")).join(F.broadcast(share), "lang").where(F.col("draw") < F.col("below"))
+    # copies of a row are drawn together, so the number of rows is cut as well (in the map tasks already)
+    drawn = drawn.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).where(F.col("n") <= 2 * sample)
     counted = drawn.select("text", "lang").mapInArrow(_count(languages), "gram long, lang int, n long")
-    known = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TEXTS)
-    found = known.select("gram", "lang").toArrow()  # of the sampled texts
+    known = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    enough = F.array(*(F.lit(MIN_TEXTS if r["count"] >= MANY_TEXTS else 1) for r in sizes))
+    found = known.where(F.col("n") >= F.element_at(enough, F.col("lang") + 1)).select("gram", "lang").toArrow()  # of the sampled texts
     lang = found["lang"].to_numpy().astype(np.int64)
     return LanguageFilter(languages, found["gram"].to_numpy().astype(np.uint64), np.uint64(1) << (lang % WORD).astype(np.uint64), languages.index(commonest), lang // WORD)
 
