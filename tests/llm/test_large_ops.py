@@ -280,6 +280,22 @@ def test_ann(spark, sf):
     assert ann.nearest(df.where("vec_id >= 5000")).count() == 0 and ann.nearest(df.limit(0)).count() == 0
 
 
+def test_ann_asks_a_repeated_query_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(40, 4)))]
+    df = spark.createDataFrame([*rows, rows[0], rows[0], (0, [9.0] * 4), (None, [1.0] * 4)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, every=40, k=10).toPandas()
+    assert got["rank"].tolist() == list(range(1, 11)) and got.vec_id.nunique() == 10 and 0 not in set(got.vec_id)
+
+
+def test_ann_probes_follow_the_data():
+    """Close neighbours need few parts, evenly spread ones need many."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(200, 16)) * 5
+    close = np.repeat(centres, 20, axis=0) + rng.normal(size=(4000, 16)) * 0.1
+    assert ann.fit(close)[1] <= 4 < ann.fit(rng.normal(size=(4000, 64)))[1]
+
+
 def test_ann_recall_on_the_table(spark, sf):
     t = spark.read.parquet(sf.replace("0.001", "0.1") + "/embeddings.parquet")
     p = t.toPandas().sort_values("vec_id")

@@ -52,6 +52,40 @@ def test_slot_map(sizes, shards):
     assert grown.version == m.version + 1 and all(b == shards for _, b in moved)
 
 
+def test_sharding_of_repeated_rows(spark):
+    """Equal rows beyond a slot's share are dealt over all slots, so the law holds for them as well."""
+    rows = [(i, f"text {i} " * 20) for i in range(2000)] + [(7, "the same row again")] * 4000 + [(None, None)] * 3000
+    got, _ = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=24, n_slots=1024)
+    load = got.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    size = [r["b"] for r in load]
+    assert got.count() == 9000 and len(load) == 24 and max(size) / (sum(size) / 24) < 1.05
+    assert all(r["n"] == r["d"] == r["m"] + 1 for r in load)
+
+
+def test_stored_slot_map(spark, tmp_path):
+    """The map is loaded, edited and stored again; a record moves only if its slot's entry was edited."""
+    path = f"file://{tmp_path}/slots"
+    docs = spark.createDataFrame([(i, "x" * (i % 90)) for i in range(3000)], "doc_id long, text string")
+    key = lambda rows: {r["doc_id"]: (r["virtual_slot"], r["shard"]) for r in rows.collect()}
+    rows, first = sharding.shard_documents(docs, 8, 256, map_path=path)
+    before = key(rows)
+    rows, again = sharding.shard_documents(docs, 8, 256, map_path=path)
+    assert again.version == first.version == sharding.SlotMap.load(spark, path).version == 2 and key(rows) == before
+    more = docs.unionByName(spark.createDataFrame([(5000 + i, "y" * 700) for i in range(40)], docs.schema))
+    rows, third = sharding.shard_documents(more, 8, 256, map_path=path)
+    after = key(rows)
+    edited = {slot for version, slot, _, _ in sharding.SlotMap.load(spark, path).history if version == third.version}
+    assert third.version == 3 and edited == {s for s, (a, b) in enumerate(zip(first.shards, third.shards)) if a != b}
+    assert {after[d][0] for d in before if before[d] != after[d]} <= edited
+    rows, wider = sharding.shard_documents(more, 9, 256, map_path=path)
+    assert wider.n_shards == 9 and sharding.SlotMap.load(spark, path, 2).shards == first.shards
+    assert {r["shard"] for r in rows.select("shard").distinct().collect()} == set(range(9))
+    with pytest.raises(ValueError):
+        sharding.shard_documents(more, 8, 128, map_path=path)
+    with pytest.raises(ValueError):
+        wider.store(spark, path)
+
+
 def test_sharding_balance(spark, sf):
     rows, _ = sharding.shard_documents(spark.read.parquet(sf.replace("0.001", "0.1") + "/documents.parquet"))
     load = [r["b"] for r in rows.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
@@ -104,33 +138,37 @@ def test_best_fit_decreasing(lengths):
 
 
 def test_token_counts(spark, docs, none):
-    for block in (64, 1 << 20):
-        streams = materialize(token_counts.write_streams(docs, block_bytes=block), "t")
-        got = token_counts.count_tokens(streams)
-        e = encoder(tokenizer_path())
-        want = []
-        for r in docs.collect():
-            run = []
-            for t in e.encode(r["text"]).tolist() + [50256]:  # the end id inside a text closes a document too
-                if t == 50256:
-                    want.append(len(run))
-                    run = []
-                else:
-                    run.append(t)
-        assert sorted(r["n_tokens"] for r in got.collect()) == sorted(want)
+    e = encoder(tokenizer_path())
+    want = sorted((r["doc_id"] if r["doc_id"] is not None else -1, len(e.ordinary(r["text"]))) for r in docs.collect())
+    assert 50256 not in e.ordinary("a<|endoftext|>b").tolist() and len(e.ordinary("<|endoftext|>")) > 1
+    for block, chunk in ((64, 3), (1 << 20, 4096)):
+        streams = materialize(token_counts.write_streams(docs, id_col="doc_id", block_bytes=block), "t")
+        got = token_counts.count_tokens(streams, chunk=chunk).collect()
+        assert sorted((r["name"] if r["name"] is not None else -1, r["n_tokens"]) for r in got) == want and all(r["closed"] for r in got)
+        for stream in {r["stream"] for r in got}:
+            assert sorted(r["doc_no"] for r in got if r["stream"] == stream) == list(range(sum(r["stream"] == stream for r in got)))
     assert token_counts.count_tokens(token_counts.write_streams(none)).count() == 0
-    open_ = spark.createDataFrame([(0, 0, bytearray(b"\1\0\2\0")), (0, 1, bytearray(b"\3\0"))], token_counts.BLOCK_SCHEMA)
+    open_ = spark.createDataFrame([(0, 0, bytearray(b"\1\0\2\0")), (0, 1, bytearray(b"\3\0\4")), (1, 0, None)], "stream long, block long, tokens binary")
     r = token_counts.count_tokens(open_).collect()
-    assert [(x["n_tokens"], x["closed"]) for x in r] == [(3, False)]
+    assert [(x["stream"], x["n_tokens"], x["closed"]) for x in r] == [(0, 3, False)]
 
 
-def test_flat_files(spark, tmp_path):
+@pytest.mark.parametrize("whole, chunk", [(1 << 20, 4096), (8, 2)])
+def test_flat_files(spark, tmp_path, whole, chunk):
+    """Files of a folder are one stream, whether they are read whole or in ranges."""
     (tmp_path / "s").mkdir()
-    ids = np.array([1, 2, 50256, 3, 50256, 4, 5, 6, 50256], "<u2").tobytes()
-    (tmp_path / "s" / "0.bin").write_bytes(ids[:8])
-    (tmp_path / "s" / "1.bin").write_bytes(ids[8:])
-    got = token_counts.count_tokens(token_counts.read_token_files(spark, f"file://{tmp_path}/s"))
-    assert [r["n_tokens"] for r in got.orderBy("doc_no").collect()] == [2, 1, 3]
+    rng = np.random.default_rng(1)
+    ids = np.where(rng.random(5000) < 0.05, 50256, rng.integers(0, 50000, 5000)).astype("<u2")
+    raw = ids.tobytes()
+    for i, (a, b) in enumerate(((0, 4), (4, 4096), (4096, 4098), (4098, 10000))):
+        (tmp_path / "s" / f"{i}.bin").write_bytes(raw[a:b])
+    files = token_counts.read_token_files(spark, f"file://{tmp_path}/s", range_bytes=64, whole_file=whole)
+    got = [(r["n_tokens"], r["closed"]) for r in token_counts.count_tokens(files, chunk=chunk).orderBy("doc_no").collect()]
+    ends = np.flatnonzero(ids == 50256)
+    want = [(int(n), True) for n in np.diff(np.concatenate([[-1], ends])) - 1]
+    if rest := len(ids) - int(ends[-1]) - 1:
+        want.append((rest, False))
+    assert got == want
 
 
 def test_language_filter_and_edges(spark, docs, none):
@@ -153,6 +191,14 @@ def test_language_filter_and_edges(spark, docs, none):
     assert ((f.contained(gram) & mask.astype(np.uint8)) == mask).all()
 
 
+def test_language_of_two_texts(spark):
+    """A language with fewer texts than an n-gram needs elsewhere is still predicted."""
+    rows = [(i, f"das haus {i} und der garten sind dort", "de") for i in range(200)] + [(1001, "the house and the garden are there", "en"), (1002, "there are trees", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(spark.createDataFrame([(1, "the garden and the trees", "x", 1.0)], "doc_id long, text string, lang_pred string, score double"), langid.learn(docs))
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"] and got.first()["lang_pred"] == "en"
+
+
 def test_many_languages(spark):
     """More languages than a word has bits, one text in each document of a language."""
     letters = np.random.default_rng(3)

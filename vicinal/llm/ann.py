@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fitting works on a bounded sample (``SAMPLE`` vectors, by a hash of the id): its exact neighbour graph
-is cut into ``PARTS`` balanced parts with few cut edges, and a small classifier learns which part a
-vector belongs to. Every vector is then indexed under its most probable part. A query goes to the
-``PROBES`` parts that the classifier finds most probable for it; their vectors are reranked exactly.
+Fitting works on a bounded sample (``SAMPLE`` vectors for each ``PARTS`` parts, by a hash of id and vector): its
+exact neighbour graph is cut into balanced parts with few cut edges, and a small classifier learns which part a
+vector belongs to. The number of parts grows with the table, from ``PARTS`` to ``MAX_PARTS``. Every vector is
+indexed under its most probable part. A query goes to the parts that the classifier finds most probable for it;
+their vectors are reranked exactly. How many parts that takes is measured on vectors of the sample that the fit
+did not see: as few as find ``TARGET`` of their nearest neighbours. Where neighbours lie close together that is a
+few; where vectors are spread evenly over many dimensions it is most of them, and no partition does better.
 
 Parts are dealt to tasks in groups of a bounded number of vectors and queries, so a part that holds a
 third of all vectors is only more groups. Equal vectors are compared once, and the smallest ids stand
 for them (one more than the neighbours asked for, as a query leaves itself out); no result changes.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part, as queries or candidates. Ties go to the smaller id. Empty tables give no rows. Rows that
-repeat an id are one candidate each; a query leaves out every row with its own id.
+Vectors that are null, zero, of another length than most, or hold null or non-finite components, and those
+without an id, take no part, as queries or candidates. Ties go to the smaller id. Empty tables give no rows. Rows
+that repeat an id are one candidate each; a query leaves out every row with its own id. An id that is asked
+several times is asked once (of different vectors under it, the first in order). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +30,11 @@ from .common import append_columns, materialize
 
 SAMPLE = 4000
 PARTS = 16
-PROBES = 12
+MAX_PARTS = 64
+#: Vectors of a part, from which on there are more parts.
+PART_VECTORS = 50_000
+#: Share of the sample's unseen neighbours that the probed parts must hold.
+TARGET = 0.95
 GRAPH_K = 10
 #: Vectors and queries of a task's group.
 GROUP_VECTORS = 20_000
@@ -130,24 +138,39 @@ class Router:
         return self._soft(np.maximum(z @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3] + z @ self.w[4])
 
 
-def fit(x: np.ndarray, parts: int = PARTS, seed: int = 5) -> Router:
-    """A router for the vectors ``x`` (a bounded sample)."""
+def fit(x: np.ndarray, parts: int = PARTS, seed: int = 5, target: float = TARGET, k: int = GRAPH_K) -> tuple[Router, int]:
+    """A router for the vectors ``x`` (a bounded sample), and how many parts a query must probe.
+
+    A sixth of the sample is kept from the fit, and asked for its neighbours among the rest.
+    """
     rng = np.random.default_rng(seed)
-    parts = max(1, min(parts, len(x) // 4))
+    parts = max(1, min(parts, len(x) // 8))
     if parts == 1:
-        return Router(x, np.zeros(len(x), np.int64), 1, rng, epochs=0)
+        return Router(x, np.zeros(len(x), np.int64), 1, rng, epochs=0), 1
+    mixed = rng.permutation(len(x))
+    asked, x = x[mixed[: len(x) // 6]], x[mixed[len(x) // 6 :]]
     graph = neighbour_graph(x, min(GRAPH_K, len(x) - 1))
     label = balanced_parts(x, graph, parts, rng)
     # a vector's target is where it and its neighbours lie, so that routing knows of neighbours across a cut
     share = np.eye(parts)[label] * 0.5 + np.eye(parts)[label[graph]].mean(axis=1) * 0.5
-    return Router(x, label, parts, rng, smooth=share)
+    router = Router(x, label, parts, rng, smooth=share)
+    place = router.probabilities(x).argmax(axis=1)
+    order = np.argsort(np.argsort(-router.probabilities(asked), axis=1, kind="stable"), axis=1, kind="stable")
+    needed = []
+    for at in range(0, len(asked), 512):
+        some = asked[at : at + 512]
+        d = (x * x).sum(axis=1)[None] - 2 * some @ x.T
+        near = np.argpartition(d, min(k, len(x)) - 1, axis=1)[:, :k]
+        needed.append(order[at : at + 512][np.arange(len(some))[:, None], place[near]].ravel())
+    needed = np.sort(np.concatenate(needed))
+    return router, int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, embedding) of the vectors that take part."""
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding"))
+    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding"))
     length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("embedding") == (length["d"] if length else 0))
 
@@ -159,15 +182,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
-def fit_router(rows: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Router | None:
-    """A router fitted on ``sample`` of the rows at most; None without rows."""
+def fit_router(rows: DataFrame, sample: int = SAMPLE, parts: int | None = None) -> tuple[Router, int] | None:
+    """A router and its number of probes, fitted on ``sample`` rows for each ``PARTS`` parts at most; None without rows."""
     n = rows.count()
     if not n:
         return None
+    parts = parts or min(MAX_PARTS, max(PARTS, n // PART_VECTORS))
+    sample = max(sample, sample * parts // PARTS)
     draw = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30))
     picked = rows.withColumn("__draw", draw).where(F.col("__draw") < int((1 << 30) * min(1.0, 1.2 * sample / n))).orderBy("__draw", "vec_id").limit(sample)
     x = np.unique(_matrix(picked.select("embedding").toArrow()["embedding"]), axis=0)  # ``sample`` rows at most
-    return fit(x, parts) if len(x) else None
+    return fit(x, parts)
 
 
 def _with_parts(rows: DataFrame, router: Router, probes: int, name: str) -> DataFrame:
@@ -218,7 +243,7 @@ def _rerank(k: int):
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, router: Router, k: int = 10, probes: int = PROBES) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, router: Router, k: int = 10, probes: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries (vec_id, embedding)."""
     asked = _with_parts(queries, router, probes, "parts").select(F.col("vec_id").alias("query_id"), "embedding", F.explode("parts").alias("part"))
     n_parts = len(router.w[3])
@@ -237,11 +262,14 @@ def search(index: DataFrame, queries: DataFrame, router: Router, k: int = 10, pr
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest others of every vector whose id is divisible by ``every``."""
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k nearest others of every vector whose id is divisible by ``every``; ``probes`` as measured, if not given."""
     rows = usable(vectors, id_col, vector_col)
-    router = fit_router(rows)
-    if router is None:
+    fitted = fit_router(rows)
+    if fitted is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    router, needed = fitted
     index = build_index(rows, router, k + 1)
-    return search(index, rows.where(F.col("vec_id") % every == 0), router, k, min(probes, len(router.w[3])))
+    # a query that is there several times is asked once; of different vectors with one id, the first in order
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return search(index, asked, router, k, min(probes or needed, len(router.w[3])))
