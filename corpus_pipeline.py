@@ -34,13 +34,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that an earlier document has are cut out of the texts.
 
-    A cut may fall inside a character; what is left of such a character goes too.
+    A cut may fall inside a character; what is left of such a character goes too, and nothing else.
     """
     ship(spark)
-    cut = suffix_dedup.cut_repeats(docs)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "�", "")
-    text = F.when(F.col("__n_removed") > 0, text).otherwise(F.col("__kept").cast("string"))
-    rows = cut.withColumn("text", text)
+    cut = suffix_dedup.cut_repeats(docs.withColumn("__none", F.col("text").isNull()), whole_characters=True)
+    rows = cut.withColumn("text", F.when(~F.col("__none"), F.col("__kept").cast("string")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return _columns(rows, docs)
@@ -49,7 +47,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages in a twentieth of their words or more go."""
     items = table(spark, sf_dir, "benchmark")
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))  # rows without an id are told apart by text
+    key = F.xxhash64("doc_id", "text")  # rows that share an id are told apart by text; rows that share both are equal
     index = decontaminate.stored_index(docs.select(key.alias("doc_id"), "text"))
     found = decontaminate.match(index, items)
     bad = materialize(found.where(decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("__key")).distinct(), "contaminated")

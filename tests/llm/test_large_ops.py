@@ -392,6 +392,34 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
         assert packed.select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
 
 
+def test_cut_texts_keep_their_characters(spark, none):
+    """Only what is left of a character at a cut goes; a replacement character of the text's own stays."""
+    import corpus_pipeline
+
+    words = "word " * 12  # © ends in the byte that é ends in, ã begins with the byte that é begins with
+    rows = [(1, f"first-é{words}é"), (2, f"own\ufffd-©{words}ã x"), (3, None), (4, ""), (5, "\ufffd\ufffd")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "c", 1, 1) for i, t in rows], DOCS)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    assert got == {**dict(rows), 2: "own\ufffd- x"}
+
+
+def test_clean_row_with_a_contaminated_id_stays(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, prose(40, 321))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(7, prose(40, 321)), (7, prose(50, 1)), (None, prose(40, 321)), (None, prose(30, 2)), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "c", 1, 1) for i, t in rows], DOCS)
+    got = corpus_pipeline.benchmark_passages(spark, docs, str(tmp_path))
+    assert sorted(r["text"] or "" for r in got.collect()) == sorted(["", prose(50, 1), prose(30, 2)])
+
+
+def test_one_of_many_repeated_rows(spark):
+    rows = [(1, "the same words again and again")] * 300 + [(2, "the same words again and again"), (3, "quite another text of some words"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "c", 1, 1) for i, t in rows], DOCS)
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == [(0, ""), (1, rows[0][1]), (3, rows[301][1])]
+
+
 def test_registered(spark, sf):
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES)
     assert numbers == list(range(1, 11))

@@ -14,7 +14,9 @@ as its members, not its pairs.
 
 Copies share a fingerprint, and only distinct fingerprints are compared. Nulls and texts without a
 word have fingerprint zero and link like any other. A null id takes part, but never names a
-component unless all ids in it are null. Repeated rows stay. Empty tables give no rows.
+component unless all ids in it are null. Repeated rows stay. Empty tables give no rows. Texts of any length
+are read whole, in parts. Ties: of equal ids in a component the text with the least checksum stays. A column
+called like a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -23,11 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import append_columns, materialize, run_starts, spread
-from .components import connected_components
+from .components import connected_components, join_counted
 
 SHINGLE = 3
 SEED = 42
@@ -238,17 +239,18 @@ def links(distinct_fp: DataFrame, radius: int = RADIUS, limit: int = GROUP) -> D
 
 def components(prints: DataFrame, id_col: str = "doc_id", limit: int = GROUP) -> DataFrame:
     """(fp, component_id) of every fingerprint in ``prints`` (id, fp): the smallest id reachable by links."""
-    own = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    own = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("rows")), "distinct")
     roots = connected_components(links(own.select("fp"), limit=limit))
-    named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
+    named = materialize(named, "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return join_counted(named, least, "root", "n", named.count()).select("fp", "root", "component_id", "rows")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     prints = materialize(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep=["doc_id"]), "prints")
-    return prints.join(components(prints), "fp").select("doc_id", "fp", "component_id")
+    return join_counted(prints, materialize(components(prints), "components"), "fp", "rows", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,10 +259,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), check.alias("check"))
     prints = materialize(fingerprints(slim, keep=["doc_id", "check"]), "prints")
     # the row that stays, by id and checksum of its text, rows without an id last
-    best = prints.join(components(prints), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check")).alias("b"))
+    found = join_counted(prints, materialize(components(prints), "components"), "fp", "rows", prints.count())
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check")).alias("b"))
     kept = materialize(best.select(F.col("b.doc_id").alias("__id"), F.col("b.check").alias("__kept")), "kept")
-    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (check == F.col("__kept")), "left_semi")
+    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (check.eqNullSafe(F.col("__kept"))), "left_semi")
     if prints.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("check") == F.col("__kept")), "left_semi").count() > kept.count():
-        again = W.partitionBy(id_col, check).orderBy(F.length(text_col))
-        rows = rows.withColumn("__n", F.row_number().over(again)).where("__n = 1")
+        # one of each set of repeated rows, put together in the map tasks first
+        rows = rows.withColumn("__check", check).dropDuplicates([id_col, "__check"])
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -441,7 +441,13 @@ def _resolve(n_parts: int):
 # 4. cutting the texts
 
 
-def _cut(columns: list[str]):
+def _at(places: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[places] = True
+    return out
+
+
+def _cut(columns: list[str], whole_characters: bool):
     def run(key, docs, removals):
         n = len(docs)
         raw, off = buffers(docs["__text"])
@@ -462,8 +468,12 @@ def _cut(columns: list[str]):
         begins[inner] = gone[inner]
         count = np.concatenate([[0], np.cumsum(begins)])
         spans = count[off[1:]] - count[off[:-1]]
+        if whole_characters and gone.any():  # what is left of a character that lost a byte goes too
+            character = np.cumsum(((raw & 0xC0) != 0x80) | _at(off[:-1][bytes_ > 0], len(raw))) - 1
+            gone = (np.bincount(character, gone) > 0)[character]
         kept = raw[~gone]
-        left = np.concatenate([[0], np.cumsum(bytes_ - removed)])
+        total = np.concatenate([[0], np.cumsum(~gone)])
+        left = total[off]
         data = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
         # rows that repeat an id and text are cut like the first of them
         found = [data, pa.array(bytes_), pa.array(removed), pa.array(spans)]
@@ -477,8 +487,11 @@ def _cut(columns: list[str]):
     return run
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all but the text, if not given), and ``__kept`` (remaining bytes), ``__n_bytes``, ``__n_removed``, ``__n_spans``."""
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
+    """The kept columns (all but the text, if not given), and ``__kept`` (remaining bytes), ``__n_bytes``, ``__n_removed``, ``__n_spans``.
+
+    With ``whole_characters``, ``__kept`` leaves out characters of which a byte is removed (the counts are as without).
+    """
     columns = [c for c in docs.columns if c != text_col] if keep is None else keep
     total = docs.agg(F.coalesce(F.sum(text_bytes(text_col)), F.lit(0))).first()[0]
     n_buckets = max(AT_LEAST, -(-total // BUCKET_BYTES))
@@ -499,7 +512,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     solved = materialize(bytes_.groupBy("part").cogroup(occurrences.groupBy("part")).applyInArrow(_resolve(n_parts), "kind int, part int, pack binary"), "solved")
     removals = shared.where(F.col("kind") == REMOVE).unionByName(solved).select(F.col("part").alias("__part"), "pack")
     out = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    return dealt.groupBy("__part").cogroup(removals.groupBy("__part")).applyInArrow(_cut(columns), out + "__kept binary, __n_bytes long, __n_removed long, __n_spans long")
+    return dealt.groupBy("__part").cogroup(removals.groupBy("__part")).applyInArrow(_cut(columns, whole_characters), out + "__kept binary, __n_bytes long, __n_removed long, __n_spans long")
 
 
 def _deal_documents(rows: DataFrame, n_parts: int) -> DataFrame:
