@@ -349,8 +349,9 @@ def test_html_extraction(spark, sf):
         right += int(((model.label([found])[0] >= 0.5) == np.array(labels)).sum())
         total += len(labels)
     assert right / total > 0.97
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = spark.read.parquet(sf.replace("0.001", "0.1") + "/pages.parquet")
     got = html_text.extract(pages, model).select("html", "text", "n_chars").collect()
+    assert len(got) == pages.count()
     same = 0
     for r in got:
         parts = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", r["html"], re.S)[1])
@@ -359,12 +360,47 @@ def test_html_extraction(spark, sf):
         want = "\n".join(t for t in (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in parts) if t)
         same += r["text"] == want
         assert r["n_chars"] == len(r["text"])
-    assert same / len(got) > 0.95
-    odd = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (3, "<nav><a>x</a></nav>", "c")], "page_id long, html string, text string")
-    assert [r["n"] for r in html_text.extract(odd.drop("text"), model).select(F.length("text").alias("n")).collect()][:2] == [0, 0]
+    assert same == len(got)
+    odd = spark.createDataFrame([(1, None, "c", 5), (2, "", "c", 5), (3, "<nav><a>x</a></nav>", "c", 5)], "page_id long, html string, text string, N_chars int")
+    rows = html_text.extract(odd, model)
+    assert rows.columns == ["page_id", "html", "text", "n_chars"] and [(r["text"], r["n_chars"]) for r in rows.collect()][:2] == [("", 0), ("", 0)]
     assert html_text.extract(pages.limit(0), model).count() == 0
 
 
+ARTICLE = [
+    "<h1>How to install the tool</h1>",
+    "<p>First you get the files from the server and unpack them.</p>",
+    "<pre>tar xf tool.tgz\ncd tool; make install</pre>",
+    "<p>Then set these values, as the table says.</p>",
+    "<table><tr><th>name</th><th>value</th></tr><tr><td>depth</td><td>12</td></tr></table>",
+    "<p>That is all there is to do, it works.</p>",
+]
+
+
+@pytest.mark.parametrize("outer", ["div", 'div class="content"', "article", "main"])
+def test_html_of_articles_with_code_and_tables(outer):
+    around = '<div class="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></div>', '<div class="footer">&copy; 2020 someone. All rights reserved.</div>'
+    page = f"<html><body>{around[0]}<{outer}>{''.join(ARTICLE)}</{outer.split()[0]}>{around[1]}</body></html>"
+    want = [b.text for b in html_text.blocks("".join(ARTICLE))]
+    assert html_text.article_text([page], html_text.trained())[0].split("\n") == want and len(want) == 9
+
+
+def test_html_of_very_long_and_deep_pages():
+    """A page of 2 MB beside short ones: whole, and in memory that its own length sets."""
+    import tracemalloc
+
+    long = "<html><body><nav><a href=x>menu</a></nav><article>" + "".join(f"<p>Item {i} of a long list, in some words.</p>" for i in range(45_000)) + "</article></body></html>"
+    short = "<article><h1>A title</h1><p>One paragraph of a text, and not a long one.</p></article>"
+    model = html_text.trained()
+    tracemalloc.start()
+    got = html_text.article_text([short] * 100 + [long], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(long) > 2 << 20 and got[-1].count("\n") == 44_999 and peak < 500 << 20
+    assert [b.depth for b in html_text.blocks("<div>" * 50_000 + "x</div>y")] == [50_000, 49_999]
+    assert len(html_text._parts("div", 'class="a b c d e f g h i j k l"')) == 13
+
+
 # all together
 
 

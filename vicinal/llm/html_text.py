@@ -4,7 +4,7 @@ A page is cut into blocks (runs of text between block-level tags), each with the
 open around it. A block becomes a vector of hashed path parts (tag names, classes, ids), hashed words
 and a few measures (length, share of link text, depth, place). A bidirectional LSTM in numpy reads the
 vectors of all blocks of a page in order and says of each, with the whole page as context, whether it
-belongs to the article. Scripts, styles and markup are never blocks; self-closed ``svg`` and ``math`` are
+belongs to the article; blocks under the same tag path then draw each other's scores together. Scripts, styles and markup are never blocks; self-closed ``svg`` and ``math`` are
 empty, and custom elements (``video-js``) are tags like others.
 
 The labeller is trained on pages that ``sample_page`` makes up, with known labels; the training is
@@ -12,7 +12,10 @@ seeded and takes a few seconds.
 
 Null and empty pages, and pages without article blocks, have the empty text. Broken markup (tags that
 are never closed, or closed twice) is read like browsers do in simple cases. Very long pages are one
-long sequence; their words and blocks are all read. Repeated pages are extracted one by one.
+long sequence, whose words and blocks are all read; pages run through the LSTM together as long as their
+padded blocks number under ``CELLS``, so memory follows the longest page alone. Depth costs nothing: open tags
+are kept as counts. Repeated pages are extracted one by one; empty tables give no rows; a probability of just
+the threshold counts as article. Columns called ``text`` or ``n_chars`` give way to the new ones.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ WORD_DIM = 48
 MEASURES = 8
 DIM = PATH_DIM + WORD_DIM + MEASURES
 HIDDEN = 20
-PAGES_AT_ONCE = 256
+#: Blocks, padding included, of pages that run together.
+CELLS = 1 << 14
 
 # Roles of HTML tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,7 +61,7 @@ def _parts(tag: str, attributes: str) -> tuple[str, ...]:
     """Path parts of a tag: its name, and the words of its class, id and role."""
     out = [tag]
     for m in ATTRIBUTE.finditer(attributes):
-        out += [f".{w}" for w in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()) if w][:8]
+        out += [f".{w}" for w in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()) if w]
     return tuple(out)
 
 
@@ -67,35 +71,51 @@ def _bucket(part: str, dim: int) -> int:
 
 
 class Block:
+    """A block's text, the hashed parts of the tags around it, its share of link text and its depth."""
+
     __slots__ = ("text", "path", "link", "depth")
 
-    def __init__(self, text: str, path: tuple, link: float, depth: int):
+    def __init__(self, text: str, path: np.ndarray, link: float, depth: int):
         self.text, self.path, self.link, self.depth = text, path, link, depth
 
 
+#: Items that end where the next one of their kind begins.
+ITEMS = frozenset("li dt dd option tr td th".split())
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page, in order: references decoded, white space made single."""
     out: list[Block] = []
     if not page:
         return out
     stack: list[tuple[str, tuple]] = []
+    open_tags: dict[str, int] = {}
+    around = np.zeros(PATH_DIM, np.int32)  # open parts in each bucket
     text: list[str] = []
-    links = [0]
+    links = 0
+
+    def close(at: int):
+        for tag, buckets in stack[at:]:
+            open_tags[tag] -= 1
+            for b in buckets:
+                around[b] -= 1
+        del stack[at:]
 
     def flush():
+        nonlocal links
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                path = tuple(p for _, parts in stack for p in parts)
-                out.append(Block(whole, path, min(1.0, links[0] / len(whole)), len(stack)))
+                out.append(Block(whole, around > 0, min(1.0, links / len(whole)), len(stack)))
             text.clear()
-        links[0] = 0
+        links = 0
 
     def add(piece: str):
+        nonlocal links
         if piece:
             text.append(piece)
-            if any(t == "a" for t, _ in stack):
-                links[0] += len(piece.strip())
+            if open_tags.get("a"):
+                links += len(piece.strip())
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -110,23 +130,28 @@ def blocks(page: str | None) -> list[Block]:
         elif tag == "br":
             text.append(" ")
         if m[2]:  # an end tag closes up to the last tag of its name, if there is one
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_tags.get(tag):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close(i)
             continue
         if tag in VOID:
             continue
-        if tag in CLOSES_P or tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
+        if (tag in CLOSES_P or tag in ITEMS) and (open_tags.get("p") or tag in ITEMS and open_tags.get(tag)):
             # an open paragraph (or item of the same kind) ends here
-            for i in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
-                if stack[i][0] == "p" or (stack[i][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th")):
-                    del stack[i:]
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == "p" or (stack[i][0] == tag and tag in ITEMS):
+                    close(i)
                     break
                 if stack[i][0] in BLOCK:
                     break
         if not m[4].rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, _parts(tag, m[4])))
+            buckets = tuple(_bucket(part, PATH_DIM) for part in _parts(tag, m[4]))
+            stack.append((tag, buckets))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+            for b in buckets:
+                around[b] += 1
     add(page[at:])
     flush()
     return out
@@ -137,14 +162,13 @@ def features(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), DIM), np.float32)
     n = len(page)
     for i, b in enumerate(page):
-        for p in b.path:
-            x[i, _bucket(p, PATH_DIM)] = 1.0
+        x[i, :PATH_DIM] = b.path
         words = b.text.lower().split()
         counts = np.bincount([zlib.crc32(w.encode()) % WORD_DIM for w in words], minlength=WORD_DIM)
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.minimum(counts, 3) / np.sqrt(len(words))
         chars = len(b.text)
-        letters = max(10, min(chars, 400))
-        x[i, -MEASURES:] = (np.log1p(chars) / 5, np.log1p(len(words)) / 4, b.link, b.depth / 10, i / max(1, n - 1), b.text[-1] in ".!?…", min(1.0, 10 * (b.text.count(".", 0, 400) + b.text.count(",", 0, 400)) / letters), 1.0)
+        marks = b.text.count(".") + b.text.count(",")
+        x[i, -MEASURES:] = (np.log1p(chars) / 5, np.log1p(len(words)) / 4, b.link, min(b.depth, 40) / 10, i / max(1, n - 1), b.text[-1] in ".!?…", min(1.0, 10 * marks / max(10, chars)), 1.0)
     return x
 
 
@@ -216,15 +240,29 @@ class Labeller:
         """Probability, for every block of every page, of belonging to the article."""
         out: list = [np.empty(0, np.float32)] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), PAGES_AT_ONCE):
-            some = order[at : at + PAGES_AT_ONCE]
+        at = 0
+        while at < len(order):
+            stop = at + 1  # pages come by length, so the last one sets the padding
+            while stop < len(order) and (stop + 1 - at) * len(pages[order[stop]]) <= CELLS:
+                stop += 1
+            some = order[at:stop]
             x, mask = _padded([features(pages[i]) for i in some])
             s = self.scores(x, mask)
             for k, i in enumerate(some):
-                out[i] = s[: len(pages[i]), k]
+                out[i] = _with_path_mates(s[: len(pages[i]), k], pages[i])
+            at = stop
         return out
 
 
+def _with_path_mates(score: np.ndarray, page: list[Block], own: float = 0.6) -> np.ndarray:
+    """Scores drawn, as logits, towards the mean of the page's blocks under the same tag path."""
+    logit = np.log(np.clip(score, 1e-6, 1 - 1e-6) / np.clip(1 - score, 1e-6, 1))
+    _, mates = np.unique(np.array([b.path for b in page]), axis=0, return_inverse=True)
+    mates = mates.ravel()
+    mean = np.bincount(mates, logit) / np.bincount(mates)
+    return _sigmoid(own * logit + (1 - own) * mean[mates])
+
+
 def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, rows))
     x, mask = np.zeros((steps, len(rows), DIM), np.float32), np.zeros((steps, len(rows)), bool)
@@ -244,7 +282,7 @@ _CHROME = {
     "comments": ['div class="comments"', 'section id="comments"', 'div class="comment-list"', 'div class="reader-comments"', 'ol class="comment"'],
     "footer": ["footer", 'div class="footer"', 'div id="site-footer"', 'div class="copyright legal"'],
 }
-_MAIN = ["article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body entry"', 'section class="article text"', "div"]
+_MAIN = ["article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body entry"', 'section class="article text"', "div", "div"]
 _CHROME_WORDS = "home login menu search share comment reply subscribe cookie cookies privacy policy terms copyright rights reserved contact newsletter accept ad sponsored buy offer next previous related read more tags follow posted by".split()
 
 
@@ -310,10 +348,19 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
             body.append(say("h2", words(int(rng.integers(1, 7))).capitalize(), True))
         elif form < 0.16:
             body.append("<ul>" + "".join(say("li", sentence(int(rng.integers(2, 20))), True) for _ in range(3)) + "</ul>")
-        elif form < 0.2:
+        elif form < 0.18:
             body.append(say("blockquote", text, True))
-        elif form < 0.3:
+        elif form < 0.22:
+            body.append(say("pre", text, True))
+        elif form < 0.26:
+            rows = ("<tr>" + "".join(say(pick(["td", "td", "th"]), words(int(rng.integers(1, 6))), True) for _ in range(int(rng.integers(1, 4)))) + "</tr>" for _ in range(int(rng.integers(1, 5))))
+            body.append("<table>" + "".join(rows) + "</table>")
+        elif form < 0.34:
             body.append(say("p", f"<b>{text}<br>", True, close=False))
+        elif form < 0.4:  # one word or a short phrase over and over
+            body.append(say("p", " ".join([sentence(int(rng.integers(1, 8)))] * int(rng.integers(2, 40))), True))
+        elif form < 0.46 and outer.startswith("div"):
+            body.append(say("div", text, True))
         else:
             body.append(say("p", text.replace(" ", f' <a href="/x">{words(1)}</a> ', 1) if rng.random() < 0.15 else text, True))
         if i and rng.random() < 0.06:
