@@ -214,7 +214,8 @@ def test_decontamination_by_force(spark, docs, none, monkeypatch):
         return sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["items"]))) for r in found.collect())
 
     assert run() == want
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)  # several blocks of items
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)  # several blocks of items
+    monkeypatch.setattr(decontaminate, "WINDOWS", 7)
     assert run() == want
     monkeypatch.setattr(decontaminate, "CANDIDATES", 2)
     assert run() == want
@@ -222,6 +223,14 @@ def test_decontamination_by_force(spark, docs, none, monkeypatch):
     assert decontaminate.match(decontaminate.stored_index(docs), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_words_of_very_long_texts():
+    text = (" ".join(prose(200, i) for i in range(40)) + "x" * 3000 + " Ä1-b\n") * 3
+    want = decontaminate.words(text.encode())
+    for size in (1, 50, 4000):
+        assert [w for b in decontaminate._blocks(text.encode(), size) for w in decontaminate.words(b)] == want
+        assert [w for b in simhash._blocks(text.encode(), size) for w in b] == text.encode().split()
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma z"), (2, "gamma beta alpha"), (3, "alpha beta"), (4, "alpha a b c d e beta gamma")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
