@@ -75,8 +75,8 @@ def cut_by_force(rows):
     return out
 
 
-def cut(df):
-    rows = suffix_dedup.cut_repeats(df, keep=["doc_id"])
+def cut(df, **options):
+    rows = suffix_dedup.cut_repeats(df, keep=["doc_id"], **options)
     return [tuple(r) for r in rows.select("doc_id", "__n_bytes", "__n_removed", "__n_spans", F.sha2("__kept", 256)).collect()]
 
 
@@ -90,14 +90,42 @@ def test_suffix_dedup_by_force(spark, docs, none):
     assert [c for c in full.columns if not c.startswith("__")] == [c for c in docs.columns if c != "text"] and full.count() == docs.count()
 
 
-def test_suffix_dedup_many_spans_of_one_name(spark, monkeypatch):
+def test_suffix_dedup_many_spans_of_one_name(spark):
     # one short string in very many surroundings: names are refined until texts are small
     common = "the very same sentence stands here again"
     rows = [(i, f"{prose(12, 100 + i % 40)} {common} {prose(12, 200 + i // 3)}") for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(cut(df)) == sorted(cut_by_force(rows))
+
+
+@pytest.mark.parametrize("followers", [1, 2, 5])
+def test_suffix_dedup_of_a_line_that_all_share(spark, followers):
+    """Spans that stand very often wait in their task's group: alone under their name, and in several surroundings."""
+    line = "this very line stands at the end of each of the documents here, under some licence"
+    texts = [f"{prose(15, 700 + i)} {line}" for i in range(60)] + [line] * 30 + [f"{line} {prose(6, 800 + i % 4)}" for i in range(60)] + [f"{'ab' * 90}{i % 3}" for i in range(20)]
+    rows = [(i * 37 % 211, t) for i, t in enumerate(texts)] + [(500, line), (500, line), (500, prose(20, 1)), (None, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] is None, r)
+    assert sorted(cut(df, followers=followers), key=key) == sorted(cut_by_force(rows), key=key)
+
+
+def test_suffix_dedup_of_one_row_over_and_over(spark):
+    rows = [(1, prose(30, 5))] * 400 + [(2, prose(30, 5)), (3, "x " + prose(30, 5) + " y")] + [(None, prose(30, 5))] * 50
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, part int")
+    key = lambda r: (r[0] is None, r)
+    assert sorted(cut(df), key=key) == sorted(cut_by_force(rows), key=key)
+    assert sorted(r["part"] for r in suffix_dedup.cut_repeats(df).collect()) == list(range(len(rows)))
+
+
+def test_suffix_dedup_spans_in_pieces(monkeypatch):
+    """Runs of one name cut into pieces cover the same windows."""
+    raw = np.frombuffer((b"ab" * 300 + b"-" * 200 + prose(40, 1).encode()), np.uint8)
+    off = np.array([0, 500, len(raw)])
+    windows = lambda: sorted(x for d, a, n in zip(*suffix_dedup.spans_of(raw, off, 20)[:3]) for x in range(a, a + n - 49))
+    want = [*range(451), *range(500, len(raw) - 49)]
+    assert windows() == want
     monkeypatch.setattr(suffix_dedup, "SPAN_WINDOWS", 5)
-    assert sorted(cut(df)) == sorted(cut_by_force(rows))
+    assert windows() == want
 
 
 def test_suffix_dedup_runs_of_one_byte(spark):

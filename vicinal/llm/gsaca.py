@@ -10,6 +10,8 @@ pointer names, and so on until one is already placed. No suffix is compared and
 
 All texts of a call go through the same steps at the same time, so each step is a few array
 operations; the work is linear in the length of the texts, the number of steps in that of the longest.
+Wherever an order is needed (symbols, groups, counts), it is made by counting passes over 16-bit digits;
+distinct suffixes are found by marks. Nothing is sorted by comparison.
 """
 
 from __future__ import annotations
@@ -32,10 +34,24 @@ def suffix_arrays(text: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _emit(group, pointer, lane, first.astype(np.int64))
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Stable order by columns of non-negative numbers, the first the most significant.
+
+    numpy's stable sort of 16-bit numbers is a radix sort, so this is linear in the rows for each digit.
+    """
+    order = np.arange(len(keys[0]))
+    for key in reversed(keys):
+        shift, top = 0, int(key.max()) if len(key) else 0
+        while not shift or top >> shift:
+            order = order[np.argsort((key[order] >> shift).astype(np.uint16), kind="stable")]
+            shift += 16
+    return order
+
+
 def _groups(text: np.ndarray, lane: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start of each suffix's group in the order of groups, pointer to the previous suffix in a lower group or -1)."""
     n = len(text)
-    order = np.argsort(lane * (int(text.max()) + 1) + text, kind="stable")
+    order = _order(lane, text)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     starts = run_starts(lane[order], text[order])
@@ -49,6 +65,7 @@ def _groups(text: np.ndarray, lane: np.ndarray, first: np.ndarray) -> tuple[np.n
     is_first = np.zeros(n, bool)
     is_first[begin] = True
     moving = np.zeros(n, bool)
+    mark, times_of = np.empty(n, np.int64), np.zeros(n, np.int64)
     active = np.flatnonzero(np.diff(first) > 0)
     high = first[1:].copy()
     while len(active):
@@ -65,10 +82,16 @@ def _groups(text: np.ndarray, lane: np.ndarray, first: np.ndarray) -> tuple[np.n
             todo, at_least, to = todo[up], at_least[up], to[up]
             pointer[todo] = pointer[to]
         to = pointer[members]
-        named, times = np.unique(to[to >= 0], return_counts=True)
-        if len(named):
+        to = to[to >= 0]
+        if len(to):
+            # distinct targets, and how often each is pointed to
+            mark[to] = np.arange(len(to))
+            named = to[mark[to] == np.arange(len(to))]
+            np.add.at(times_of, to, 1)
+            times = times_of[named]
+            times_of[named] = 0
             g = group[named]
-            by = np.lexsort((times, g))
+            by = _order(g, times)
             named, times, g = named[by], times[by], g[by]
             g_at = run_starts(g)
             m = np.diff(np.append(g_at, len(g)))

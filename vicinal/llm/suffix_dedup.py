@@ -16,9 +16,19 @@ are removed. Everything is judged on the input.
 4. The removals go back to the documents' parts, where they are merged and the texts are cut.
 
 What tasks exchange are packed arrays; buckets and parts are sized by bytes, so their number grows
-with the input. Nulls and empty texts have no bytes. Documents without an id, or with equal ids, take
-nothing from each other, and those without one keep everything. Texts shorter than ``LENGTH`` stay.
-Empty tables give no rows.
+with the input. A span that stands more than ``FOLLOWERS`` times in what a task emits at once is sent to its bucket
+twice only, under its least and its greatest id; the others wait in a group of their task's (``home``), to which the
+bucket sends the answer. So a line that very many documents share is a few entries for each task, not one for
+each document. Documents of equal id and text are cut once, and documents without an id not at all.
+
+Equal strings are told by a name of 64 bits (bucket and rest) and a content hash of 56; a false match needs both to
+agree, which for 10 ** 13 spans has a probability under 2 ** -25. Names that agree alone do no harm: the bytes decide.
+
+Nulls and empty texts have no bytes. Documents without an id, or with equal ids, take nothing from each other, and
+those without one keep everything. Texts shorter than ``LENGTH`` stay. Very long texts are read whole; long runs of
+one name are cut into spans of ``SPAN_WINDOWS`` windows. Ties don't arise: of equal windows the least id's stay,
+all of them. Empty tables give no rows. Extra columns pass through (names with two underscores in front are the
+operator's own).
 """
 
 from __future__ import annotations
@@ -31,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, materialize, run_starts, slices, spread, text_bytes
+from .components import join_counted
 from .gsaca import suffix_arrays
 
 LENGTH = 50
@@ -42,6 +53,8 @@ SPAN_WINDOWS = 64
 BUCKET_BYTES = 6 << 20
 PART_BYTES = 4 << 20
 AT_LEAST = 32
+#: Equal spans in one emission, from which on most of them wait at home.
+FOLLOWERS = 256
 #: Characters that a call of the suffix array construction takes.
 CALL = 1 << 20
 
@@ -170,18 +183,46 @@ def spans_of(raw: np.ndarray, offsets: np.ndarray, width: int, length: int = LEN
 # 1. spans of documents to buckets
 
 
-def _emit_spans(n_buckets: int):
-    def out(found):
-        key, id_, check, start, size, name, content = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(key, kind="stable")
-        cuts = np.append(run_starts(key[order]), len(key))
-        rows, blobs = [], []
+def _split_followers(id_: np.ndarray, name: np.ndarray, content: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(spans that wait, spans that speak for them) where one content stands very often."""
+    mixed = (content ^ (name * _A)) * _B
+    order = np.argsort(mixed, kind="stable")
+    starts = run_starts(mixed[order])
+    count = np.diff(np.append(starts, len(order)))
+    waits, speaks = np.zeros(len(id_), bool), np.zeros(len(id_), bool)
+    for a, n in zip(starts[count > limit], count[count > limit]):
+        i = order[a : a + n]
+        if (name[i] == name[i[0]]).all() and (content[i] == content[i[0]]).all():
+            least, most = i[np.argmin(id_[i])], i[np.argmax(id_[i])]
+            waits[i] = True
+            waits[[least, most]] = False
+            speaks[least] = True
+    return waits, speaks
+
+
+def _emit_spans(n_buckets: int, followers: int):
+    """Spans to the buckets 0 .. n_buckets - 1; those that wait, to the homes after them."""
+
+    def rows(parts, *arrays):
+        order = np.argsort(parts, kind="stable")
+        cuts = np.append(run_starts(parts[order]), len(parts))
         for a, b in zip(cuts[:-1], cuts[1:]):
             i = order[a:b]
-            ids, at = _unique_pairs(id_[i], check[i])
-            rows.append(int(key[i[0]]))
-            blobs.append(pack(ids[0], ids[1], at.astype(np.uint32), start[i], size[i], name[i], content[i]))
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["part", "pack"])
+            ids, at = _unique_pairs(arrays[0][i], arrays[1][i])
+            yield int(parts[i[0]]), pack(ids[0], ids[1], at.astype(np.uint32), *(x[i] for x in arrays[2:]))
+
+    def out(found):
+        key, id_, check, start, size, name, content = (np.concatenate(x) for x in zip(*found))
+        waits, speaks = _split_followers(id_, name ^ (key.astype(np.uint64) << np.uint64(_NAME_BITS)), content, followers)
+        home = np.full(len(key), -1, np.int32)
+        if waits.any():
+            at_home = n_buckets + int((np.uint64(id_[0]) ^ content[0]) % np.uint64(n_buckets))
+            home[speaks] = at_home
+        sent = list(rows(key[~waits], *(x[~waits] for x in (id_, check, start, size, name, content, home))))
+        if waits.any():
+            w = np.flatnonzero(waits)
+            sent += rows(np.full(len(w), at_home, np.int32), *(x[w] for x in (id_, check, start, size, name, content, key)))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in sent], pa.int32()), pa.array([r[1] for r in sent], pa.binary())], ["part", "pack"])
 
     def run(batches):
         found, held = [], 0
@@ -218,7 +259,7 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.nd
 # 2. in a bucket: which names are shared
 
 
-REMOVE, FETCH, OPEN = 0, 1, 2
+REMOVE, FETCH, OPEN, WAIT, ANSWER = range(5)
 
 
 def _part_of(id_: np.ndarray, check: np.ndarray, n_parts: int) -> np.ndarray:
@@ -237,29 +278,76 @@ def _dealt(kind: int, part: np.ndarray, *arrays):
         yield kind, int(part[i[0]]), pack(*(x[i] for x in arrays))
 
 
-def _shared_names(n_parts: int):
+def _table(rows) -> pa.Table:
+    kinds, parts, blobs = zip(*rows) if rows else ((), (), ())
+    return pa.table([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "part", "pack"])
+
+
+def _answers(bucket: int, home: np.ndarray, name: np.ndarray, content: np.ndarray, size: np.ndarray, values: np.ndarray):
+    """Rows for the homes of spans: the least id of each of a span's windows (``values``, span by span)."""
+    windows = size.astype(np.int64) - LENGTH + 1
+    first = np.cumsum(windows) - windows
+    order = np.argsort(home, kind="stable")
+    cuts = np.append(run_starts(home[order]), len(home))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        i = order[a:b]
+        yield ANSWER, int(home[i[0]]), pack(np.full(len(i), bucket, np.int32), name[i], content[i], size[i], values[spread(first[i], windows[i])])
+
+
+def _removals(least: np.ndarray, first: np.ndarray, windows: np.ndarray, which: np.ndarray, id_: np.ndarray, check: np.ndarray, start: np.ndarray, n_parts: int):
+    """Rows of what goes from spans whose windows' least ids are ``least[first[which]:][:windows[which]]``."""
+    for lo in range(0, len(which), 1 << 18):
+        w = which[lo : lo + (1 << 18)]
+        n = windows[w]
+        gone = least[spread(first[w], n)] < np.repeat(id_[lo : lo + (1 << 18)], n)
+        owner = np.repeat(np.arange(len(w)), n)[gone]
+        at = spread(np.zeros(len(w), np.int64), n)[gone]
+        if not len(owner):
+            continue
+        jump = np.ones(len(owner), bool)
+        jump[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
+        a = np.flatnonzero(jump)
+        b = np.append(a[1:], len(owner)) - 1
+        i = lo + owner[a]
+        yield from _dealt(REMOVE, _part_of(id_[i], check[i], n_parts), id_[i], check[i], (start[i] + at[a]).astype(np.uint32), (at[b] - at[a] + LENGTH).astype(np.uint16))
+
+
+def _unpacked(blobs) -> list[np.ndarray]:
+    """id, check, start, size, name, content and the last column of packed spans."""
+    cols = [[] for _ in range(7)]
+    for blob in blobs:
+        ids, checks, at, *rest = unpack(blob)
+        for c, x in zip(cols, (ids[at], checks[at], *rest)):
+            c.append(x)
+    return [np.concatenate(c) for c in cols]
+
+
+def _shared_names(n_parts: int, n_buckets: int):
     def run(key, rows):
         bucket = key[0].as_py()
-        cols = [[] for _ in range(7)]
-        for blob in rows["pack"].to_pylist():
-            ids, checks, at, *rest = unpack(blob)
-            for c, x in zip(cols, (ids[at], checks[at], *rest)):
-                c.append(x)
-        id_, check, start, size, name, content = (np.concatenate(c) for c in cols[:6])
+        blobs = rows["pack"].to_pylist()
+        if bucket >= n_buckets:  # a home: its spans wait for answers
+            return _table([(WAIT, bucket, blob) for blob in blobs])
+        id_, check, start, size, name, content, home = _unpacked(blobs)
         order = np.lexsort((id_, content, name))
-        id_, check, start, size, name, content = (x[order] for x in (id_, check, start, size, name, content))
+        id_, check, start, size, name, content, home = (x[order] for x in (id_, check, start, size, name, content, home))
         by_name = run_starts(name)
         count = np.diff(np.append(by_name, len(name)))
         least, most = np.minimum.reduceat(id_, by_name), np.maximum.reduceat(id_, by_name)
         by_content = run_starts(name, content)
         contents = np.add.reduceat(np.isin(np.arange(len(name)), by_content, assume_unique=True).astype(np.int64), by_name)
         shared = least < most
-        alone = np.repeat(shared & (contents == 1), count) & (id_ > np.repeat(least, count))
+        alone = np.repeat(shared & (contents == 1), count)
+        keeps = np.repeat(least, count)
         several = np.repeat(shared & (contents > 1), count)
         out = []
         p = _part_of(id_, check, n_parts)
-        if alone.any():
-            out += _dealt(REMOVE, p[alone], id_[alone], check[alone], start[alone], size[alone].astype(np.uint16))
+        gone = alone & (id_ > keeps)
+        if gone.any():
+            out += _dealt(REMOVE, p[gone], id_[gone], check[gone], start[gone], size[gone].astype(np.uint16))
+        asked = np.flatnonzero(alone & (home >= 0))
+        if len(asked):
+            out += _answers(bucket, home[asked], name[asked], content[asked], size[asked], np.repeat(keeps[asked], size[asked].astype(np.int64) - LENGTH + 1))
         if several.any():
             # the first row of each content has its least id, and its bytes stand for all
             rep = np.zeros(len(name), bool)
@@ -267,9 +355,8 @@ def _shared_names(n_parts: int):
             rep &= several
             where = np.full(int(rep.sum()), bucket, np.int32)
             out += _dealt(FETCH, p[rep], id_[rep], check[rep], start[rep], size[rep], name[rep], content[rep], where)
-            out.append((OPEN, bucket, pack(id_[several], check[several], start[several], size[several], name[several], content[several])))
-        kinds, parts, blobs = zip(*out) if out else ((), (), ())
-        return pa.table([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "part", "pack"])
+            out.append((OPEN, bucket, pack(id_[several], check[several], start[several], size[several], name[several], content[several], home[several])))
+        return _table(out)
 
     return run
 
@@ -282,7 +369,7 @@ def _rows_of(docs: pa.Table, id_: np.ndarray, check: np.ndarray) -> np.ndarray:
     own = docs["__id"].to_numpy().astype(np.int64), docs["__check"].to_numpy().astype(np.int64)
     (a, b), at = _unique_pairs(np.concatenate([own[0], id_]), np.concatenate([own[1], check.astype(np.int64)]))
     row = np.full(len(a), -1, np.int64)
-    row[at[: len(own[0])][::-1]] = np.arange(len(own[0]))[::-1]  # of repeated rows, the first
+    row[at[: len(own[0])]] = np.arange(len(own[0]))
     return row[at[len(own[0]) :]]
 
 
@@ -391,9 +478,8 @@ def _one_call(raw, start, size, name, id_, first, spans, out, length) -> None:
 
 def _resolve(n_parts: int):
     def run(key, spans, occurrences):
-        empty = pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["kind", "part", "pack"])
         if not len(spans) or not len(occurrences):
-            return empty
+            return _table([])
         heads, texts = [], []
         for blob in spans["pack"].to_pylist():
             (n,) = struct.unpack_from("<q", blob, 0)
@@ -411,29 +497,36 @@ def _resolve(n_parts: int):
         windows = size - LENGTH + 1
         first = np.cumsum(windows) - windows
         # every occurrence of a span takes the span's answer; both sides are in order of name and content
-        oid, ocheck, ostart, osize, oname, ocontent = merged(occurrences["pack"].to_pylist())
+        oid, ocheck, ostart, osize, oname, ocontent, ohome = merged(occurrences["pack"].to_pylist())
         change = np.zeros(len(oname), np.int64)
         change[run_starts(oname, ocontent)[1:]] = 1
         which = np.cumsum(change)
-        out = []
-        for lo in range(0, len(oname), 1 << 18):
-            w = which[lo : lo + (1 << 18)]
-            n = windows[w]
-            gone = least[spread(first[w], n)] < np.repeat(oid[lo : lo + (1 << 18)], n)
-            owner = np.repeat(np.arange(len(w)), n)[gone]
-            at = spread(np.zeros(len(w), np.int64), n)[gone]
-            if not len(owner):
-                continue
-            jump = np.ones(len(owner), bool)
-            jump[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
-            a = np.flatnonzero(jump)
-            b = np.append(a[1:], len(owner)) - 1
-            i = lo + owner[a]
-            out += _dealt(REMOVE, _part_of(oid[i], ocheck[i], n_parts), oid[i], ocheck[i], (ostart[i] + at[a]).astype(np.uint32), (at[b] - at[a] + LENGTH).astype(np.uint16))
-        if not out:
-            return empty
-        kinds, parts, blobs = zip(*out)
-        return pa.table([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "part", "pack"])
+        out = list(_removals(least, first, windows, which, oid, ocheck, ostart, n_parts))
+        asked = np.flatnonzero(ohome >= 0)
+        if len(asked):
+            w = which[asked]
+            out += _answers(key[0].as_py(), ohome[asked], oname[asked], ocontent[asked], osize[asked], least[spread(first[w], windows[w])])
+        return _table(out)
+
+    return run
+
+
+def _answered(n_parts: int):
+    """Removals from the spans that wait at a home."""
+
+    def run(key, waiting, answers):
+        if not len(waiting) or not len(answers):
+            return _table([])
+        id_, check, start, size, name, content, bucket = _unpacked(waiting["pack"].to_pylist())
+        abucket, aname, acontent, asize, values = merged(answers["pack"].to_pylist())
+        code = lambda b, n: (b.astype(np.int64) << _NAME_BITS) | n.astype(np.int64)
+        (a, _), at = _unique_pairs(np.concatenate([code(abucket, aname), code(bucket, name)]), np.concatenate([acontent, content]).astype(np.int64))
+        row = np.full(len(a), -1, np.int64)
+        row[at[: len(aname)]] = np.arange(len(aname))
+        which = row[at[len(aname) :]]
+        windows = asize.astype(np.int64) - LENGTH + 1
+        known = np.flatnonzero(which >= 0)
+        return _table(list(_removals(values, np.cumsum(windows) - windows, windows, which[known], id_[known], check[known], start[known], n_parts)))
 
     return run
 
@@ -475,44 +568,62 @@ def _cut(columns: list[str], whole_characters: bool):
         total = np.concatenate([[0], np.cumsum(~gone)])
         left = total[off]
         data = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
-        # rows that repeat an id and text are cut like the first of them
         found = [data, pa.array(bytes_), pa.array(removed), pa.array(spans)]
-        if n:
-            known = docs["__id"].to_numpy().astype(np.int64), docs["__check"].to_numpy().astype(np.int64)
-            row = _rows_of(docs, *known)
-            if (row != np.arange(n)).any():
-                found = [x.take(pa.array(row)) for x in found]
         return pa.table([*(docs[c] for c in columns), *found], names=[*columns, "__kept", "__n_bytes", "__n_removed", "__n_spans"])
 
     return run
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, whole_characters: bool = False, followers: int = FOLLOWERS) -> DataFrame:
     """The kept columns (all but the text, if not given), and ``__kept`` (remaining bytes), ``__n_bytes``, ``__n_removed``, ``__n_spans``.
 
     With ``whole_characters``, ``__kept`` leaves out characters of which a byte is removed (the counts are as without).
     """
     columns = [c for c in docs.columns if c != text_col] if keep is None else keep
-    total = docs.agg(F.coalesce(F.sum(text_bytes(text_col)), F.lit(0))).first()[0]
+    check = F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), check.alias("__check"), F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`") for c in columns))
+    total = docs.agg(F.coalesce(F.sum(text_bytes("__text")), F.lit(0))).first()[0]
+    # rows that repeat an id and text are cut once
+    times = docs.where(F.col("__id").isNotNull()).groupBy("__id", "__check").agg(F.count("*").alias("__n")).where("__n > 1")
+    if times.isEmpty():
+        return _cut_distinct(docs, columns, total, whole_characters, followers)
+    one = docs.where(F.col("__id").isNotNull()).select("__id", "__check", "__text").dropDuplicates(["__id", "__check"])
+    cut = materialize(_cut_distinct(one, ["__id", "__check"], total, whole_characters, followers), "cut")
+    counted = cut.join(times, ["__id", "__check"], "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    named = docs.drop("__text").where(F.col("__id").isNotNull()).withColumn("__row", F.struct("__id", "__check"))
+    counted = counted.select(F.struct("__id", "__check").alias("__row"), "__n", *NEW)
+    found = join_counted(named, counted, "__row", "__n", named.count()).select(*(F.col(f"`{c}`") for c in columns), *NEW)
+    none = docs.where(F.col("__id").isNull())
+    return found.unionByName(_cut_distinct(none, columns, total, whole_characters, followers))
+
+
+NEW = ("__kept", "__n_bytes", "__n_removed", "__n_spans")
+
+
+def _cut_distinct(docs: DataFrame, columns: list[str], total: int, whole_characters: bool, followers: int) -> DataFrame:
+    """``cut_repeats`` of (__id, __check, __text, columns) without repeated rows, other than those without an id."""
     n_buckets = max(AT_LEAST, -(-total // BUCKET_BYTES))
     n_parts = max(AT_LEAST, -(-total // PART_BYTES))
-    check = F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF))
     # documents without an id are never cut and cut nothing
-    named = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= LENGTH)).select(F.col(id_col).cast("long").alias("id"), check.alias("check"), F.col(text_col).alias("text"))
-    spans = named.mapInArrow(_emit_spans(n_buckets), "part int, pack binary")
-    shared = materialize(spans.groupBy("part").applyInArrow(_shared_names(n_parts), "kind int, part int, pack binary"), "shared")
-    id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(0))
-    dealt = docs.select(*(F.col(f"`{c}`") for c in columns), id_.alias("__id"), F.coalesce(check, F.lit(0)).alias("__check"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__text"))
-    # documents without an id get a key of their own kind, which no removal has
-    dealt = dealt.withColumn("__check", F.when(F.col(f"`{id_col}`").isNull() if id_col in columns else F.lit(False), F.col("__check") + F.lit(1 << 32)).otherwise(F.col("__check")))
-    dealt = _deal_documents(dealt, n_parts)
-    wanted = shared.where(F.col("kind") == FETCH).select(F.col("part").alias("__part"), "pack")
-    bytes_ = dealt.select("__part", "__id", "__check", "__text").groupBy("__part").cogroup(wanted.groupBy("__part")).applyInArrow(_fetch, "part int, pack binary")
-    occurrences = shared.where(F.col("kind") == OPEN).select("part", "pack")
-    solved = materialize(bytes_.groupBy("part").cogroup(occurrences.groupBy("part")).applyInArrow(_resolve(n_parts), "kind int, part int, pack binary"), "solved")
-    removals = shared.where(F.col("kind") == REMOVE).unionByName(solved).select(F.col("part").alias("__part"), "pack")
-    out = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    return dealt.groupBy("__part").cogroup(removals.groupBy("__part")).applyInArrow(_cut(columns, whole_characters), out + "__kept binary, __n_bytes long, __n_removed long, __n_spans long")
+    named = docs.where(F.col("__id").isNotNull() & (F.octet_length("__text") >= LENGTH)).select(F.col("__id").alias("id"), F.col("__check").alias("check"), F.col("__text").alias("text"))
+    packs = "kind int, part int, pack binary"
+    spans = named.mapInArrow(_emit_spans(n_buckets, followers), "part int, pack binary")
+    shared = materialize(spans.groupBy("part").applyInArrow(_shared_names(n_parts, n_buckets), packs), "shared")
+    kind = lambda df, k, part="part": df.where(F.col("kind") == k).select(F.col("part").alias(part), "pack").groupBy(part)
+    # those without an id get keys of their own, which no removal has, and which spread them
+    place = F.when(F.col("__id").isNull(), F.monotonically_increasing_id() + F.lit(1 << 33)).otherwise(F.col("__check"))
+    # (the columns are numbered inside, as their names may clash)
+    slim = [F.coalesce("__id", F.lit(0)).alias("__id"), place.alias("__check"), F.coalesce(F.col("__text").cast("binary"), F.lit(b"")).alias("__text")]
+    dealt = _deal_documents(docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)), *slim), n_parts)
+    bytes_ = dealt.select("__part", "__id", "__check", "__text").groupBy("__part").cogroup(kind(shared, FETCH, "__part")).applyInArrow(_fetch, "part int, pack binary")
+    solved = materialize(bytes_.groupBy("part").cogroup(kind(shared, OPEN)).applyInArrow(_resolve(n_parts), packs), "solved")
+    both = shared.where(F.col("kind") == REMOVE).unionByName(solved.where(F.col("kind") == REMOVE))
+    waiting = kind(shared, WAIT)
+    answered = materialize(waiting.cogroup(kind(shared.unionByName(solved), ANSWER)).applyInArrow(_answered(n_parts), packs), "answered")
+    removals = both.unionByName(answered).select(F.col("part").alias("__part"), "pack")
+    out = "".join(f"`__c{i}` {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(columns))
+    cut = dealt.groupBy("__part").cogroup(removals.groupBy("__part")).applyInArrow(_cut([f"__c{i}" for i in range(len(columns))], whole_characters), out + "__kept binary, __n_bytes long, __n_removed long, __n_spans long")
+    return cut.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)), *NEW)
 
 
 def _deal_documents(rows: DataFrame, n_parts: int) -> DataFrame:
