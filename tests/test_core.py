@@ -6,13 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal.domain import DOMAINS, Domain
-from vicinal.errors import ConfigError, KeyExistsError, PermissionDenied, RequestError
+from vicinal.errors import ConfigError, KeyExistsError, PermissionDenied, PluginError, RequestError
 from vicinal.functions import similarity as sim
 from vicinal.functions import text
 from vicinal.operators import indexes
 from vicinal.operators.emd import emd, emd_metric, emd_signatures, transport
 from vicinal.operators.indexes import KGraph, Linear, Lsh
-from vicinal.operators.matchers import Counting, Trivial
+from vicinal.operators.matchers import Counting, Earthmover, Trivial
 from vicinal.operators.store import Store
 from vicinal.plans.search import search, with_limits
 from vicinal.service import RoundRobin, Server
@@ -55,6 +55,48 @@ def test_linear_matches_brute_force_and_columns(spark):
         assert [got[i, k + 1] for k in range(len(best))] == best
 
 
+def test_linear_of_null_and_ragged_features(spark):
+    """A null feature takes no part, one of another length or with a null inside is an error."""
+    m = sim.SIMILARITIES["l2"]
+    e = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, None), (3, 0, [4.0, 6.0])], "object long, dtag int, feature array<float>")
+    q = with_limits(queries(e, hint_K=9), -1, -1)
+    got = sorted((r["qid"], r["object"], r["distance"]) for r in Linear(2).search(q, e, m).collect())
+    assert got == [(1, 1, 0.0), (1, 3, 5.0), (3, 1, 5.0), (3, 3, 0.0)]
+    for bad in ([1.0], [1.0, None], [1.0, 2.0, 3.0]):
+        odd = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, bad)], "object long, dtag int, feature array<float>").coalesce(1)
+        with pytest.raises(Exception, match="does not have 2 values"):
+            Linear(2).search(with_limits(queries(e.where("object = 1"), hint_K=9), -1, -1), odd, m).collect()
+
+
+def test_linear_grid_equals_broadcast(spark, monkeypatch):
+    _, e = vectors(spark, n=90)
+    q = queries(e, hint_K=4, hint_R=3.0, note="x")
+    q = with_limits(q.unionByName(q.where("qid < 5")), -1, -1)  # some asked twice
+    rows = lambda: sorted((r["qid"], r["object"], r["distance"], r["rank"], r["note"]) for r in Linear(6).search(q, e, sim.SIMILARITIES["l2"]).collect())
+    want = rows()
+    monkeypatch.setattr(indexes, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(indexes, "CELL", 20)
+    assert rows() == want and len(want) > 300
+
+
+def test_earthmover_matcher(spark):
+    """Many cells give what one pair at a time gives; sides without weight match nothing."""
+    rng = np.random.default_rng(3)
+    parts = [(o, t, [float(a) for a in rng.normal(size=2)], float(rng.random() + 0.1)) for o in range(9) for t in range(3)] + [(20, 0, [0.0, 0.0], 0.0)]
+    df = spark.createDataFrame(parts, "object long, tag int, feature array<float>, weight float")
+    pairs = spark.createDataFrame([(a, b, 9, 1e30) for a in range(9) for b in (*range(9), 20)], "qid long, object long, K int, R double")
+    side = lambda o: (np.array([p[3] for p in parts if p[0] == o], np.float32).astype(float), np.array([p[2] for p in parts if p[0] == o], np.float32).astype(float))
+    matcher = Earthmover(df.withColumnRenamed("object", "qid"), df)
+    for limits in ((500, 2000), (2, 2)):
+        matcher.QUERIES, matcher.OBJECTS = limits
+        got = {(r["qid"], r["object"]): r["score"] for r in matcher.score(pairs).collect()}
+        assert len(got) == 90 and all(math.isnan(v) for (_, o), v in got.items() if o == 20)
+        for (a, b), v in got.items():
+            if b != 20:
+                (wa, xa), (wb, xb) = side(a), side(b)
+                assert v == pytest.approx(emd(wa / wa.sum(), wb / wb.sum(), np.sqrt(((xa[:, None] - xb[None]) ** 2).sum(axis=2))), abs=1e-5)
+
+
 def test_topk_monotone_radius_subset_and_self(spark):
     _, e = vectors(spark)
     m = sim.SIMILARITIES["l2"]
@@ -145,7 +187,27 @@ def test_journal_stops_at_bad_tail():
     assert codec.read_journal(one * 2 + one[:-1], d)[1] == 2 * len(one)
     assert codec.read_journal(one + b"\0" * 40, d)[1] == len(one)
     assert codec.read_journal(b"", d) == ([], 0)
-    assert codec.read_graph(codec.write_graph([[1], [0]])) == [(0, 0, 1), (1, 0, 0)]
+    marked = bytearray(one)
+    marked[4:6] = struct.pack("<H", 3)  # the reserved field
+    assert [r[3] for r in codec.read_journal(one + bytes(marked) + one, d)[0]] == [0, len(one), 2 * len(one)]
+    with pytest.raises(PluginError):
+        codec.journal_record("k", "m", b"", reserved=1)
+
+
+def test_graph_files(spark):
+    """Bytes put together by hand, of both kinds: flag set, ids only; flag unset, padded records with distances."""
+    head = b"KNNGRAPH" + struct.pack("<I", 2)
+    ids = head + struct.pack("<II", 1, 2) + struct.pack("<IIII", 7, 2, 1, 0) + struct.pack("<III", 9, 1, 0)
+    full = head + struct.pack("<II", 0, 2) + struct.pack("<II", 7, 2) + struct.pack("<IfBxxxIfBxxx", 1, 0.5, 1, 0, 2.0, 0) + struct.pack("<II", 9, 1) + struct.pack("<IfBxxx", 0, 0.5, 1)
+    want = [(0, 0, 1), (0, 1, 0), (1, 0, 0)]
+    assert codec.read_graph(ids) == codec.read_graph(full) == want
+    assert codec.write_graph([[1, 0], [0]], [7, 9]) == ids
+    assert codec.read_graph(codec.write_graph([[1, 0], [0]], distances=[[0.5, 2.0], [0.5]])) == want
+    for bad in (b"KNNGRAPX" + ids[8:], ids[:-2], full[:-1], head, ids[:8] + struct.pack("<I", 3) + ids[12:]):
+        with pytest.raises(PluginError):
+            codec.read_graph(bad)
+    files = spark.createDataFrame([("a", bytearray(ids)), ("b", bytearray(full))], "path string, content binary")
+    assert sorted(tuple(r) for r in codec.load_graph(files).collect()) == [(p, *e) for p in "ab" for e in want]
 
 
 def test_formats(spark):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.similarity import FLT_MAX, FLT_MIN_NORMAL, Similarity, dot
 from ..plans.search import hint_topk, within
@@ -19,17 +19,21 @@ from ..storage import materialize
 
 #: Query features that may be broadcast at once.
 QUERY_BLOCK = 5_000
+#: Numbers that such a broadcast may hold.
+QUERY_NUMBERS = 4 << 20
+#: Features of a side of a grid cell, beyond that.
+CELL = 20_000
 #: Entries of a random group from which NN-descent takes its first neighbours, about.
 GROUP = 5_000
 
 
 def _blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> list[DataFrame]:
-    """The queries in blocks of a checked size."""
+    """The queries in blocks of a checked size, dealt by their place, so that repeated ones spread."""
     n = queries.count()
     k = max(1, math.ceil(n / block))
     if k == 1:
         return [queries]
-    keyed = queries.withColumn("__block", F.pmod(F.xxhash64("qid", "qtag"), F.lit(2 * k)))
+    keyed = materialize(queries.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2 * k))), "queries")
     return [keyed.where(F.col("__block") == i).drop("__block") for i in range(2 * k)]
 
 
@@ -70,63 +74,129 @@ def _distances(name: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d.astype(np.float32).astype(np.float64)
 
 
+#: Measures that are computed batch by batch.
+MEASURED = ("l1", "l2", "cosine", "hamming", "type_hamming")
+
+
+def feature_matrix(column: pa.Array, kind, dim: int | None) -> np.ndarray:
+    """Features as rows of a matrix; one that is null, of another length, or holds a null is an error."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.empty((0, dim or 1), kind)
+    lengths = np.diff(column.offsets.to_numpy())
+    dim = int(lengths[0]) if dim is None else dim
+    flat = column.flatten()
+    if column.null_count or flat.null_count or (lengths != dim).any():
+        raise ValueError(f"a feature does not have {dim} values")
+    return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), dim)
+
+
 class Linear:
-    """Every query feature against every entry: bounded blocks of queries are broadcast, entries stay where they are.
+    """Every query feature against every entry. Null features take no part; one of another length is an error.
 
-    Array features are measured batch by batch in numpy; a batch passes on only what can be among the
-    hint_K nearest of a query. Other features (words) are measured as columns.
+    Few queries (a checked number of rows and values) are broadcast, and entries stay where they are. Many are dealt
+    to a grid: blocks of queries by blocks of entries, one task for each cell, all in one job. Either way a task
+    passes on only what can be among the hint_K nearest of a query. Features that are no arrays (words), and
+    measures with parameters, are measured as columns.
     """
 
     def __init__(self, dim: int | None = None):
         self.dim = dim
 
     def search(self, queries: DataFrame, entries: DataFrame, measure: Similarity) -> DataFrame:
-        found = None
-        for block in _blocks(queries):
-            part = self._arrays(block, entries, measure) if isinstance(entries.schema["feature"].dataType, ArrayType) else self._columns(block, entries, measure)
-            part = hint_topk(part, measure.polarity)
-            found = part if found is None else found.unionByName(part)
-        return found
+        queries, entries = queries.where("feature is not null"), entries.where("feature is not null")
+        if not isinstance(entries.schema["feature"].dataType, ArrayType) or measure.name not in MEASURED:
+            found = None
+            for block in _blocks(queries):
+                part = hint_topk(self._columns(block, entries, measure), measure.polarity)
+                found = part if found is None else found.unionByName(part)
+            return found
+        dim = self.dim
+        if dim is None:
+            first = queries.select(F.size("feature")).first()
+            dim = first[0] if first else 1
+        n = queries.count()
+        few = n <= QUERY_BLOCK and n * dim <= QUERY_NUMBERS
+        return hint_topk((self._broadcast if few else self._grid)(queries, entries, measure, dim, n), measure.polarity)
 
     def _columns(self, block: DataFrame, entries: DataFrame, measure: Similarity) -> DataFrame:
         asked = block.withColumnRenamed("feature", "qfeature")
         return _measured(entries.select("object", "dtag", "feature").crossJoin(F.broadcast(asked)), measure, self.dim)
 
-    def _arrays(self, block: DataFrame, entries: DataFrame, measure: Similarity) -> DataFrame:
-        spark = entries.sparkSession
-        asked = block.toPandas()  # QUERY_BLOCK rows at most
-        kind = np.float32 if "float" in entries.schema["feature"].dataType.simpleString() else np.float64 if "double" in entries.schema["feature"].dataType.simpleString() else np.int64
-        q = np.stack([np.asarray(v, kind) for v in asked["feature"]]) if len(asked) else np.empty((0, 1), kind)
-        names = [c for c in asked.columns if c != "feature"]
-        k = np.minimum(asked["hint_K"].to_numpy(), 1 << 30).astype(int) if len(asked) else np.empty(0, int)
-        shared = spark.sparkContext.broadcast((q, asked["hint_R"].to_numpy(float), k))
+    def _broadcast(self, queries: DataFrame, entries: DataFrame, measure: Similarity, dim: int, n: int) -> DataFrame:
+        spark, kind = entries.sparkSession, _numbers(entries)
+        asked = queries.toArrow()  # QUERY_BLOCK rows at most
+        q = feature_matrix(asked["feature"], kind, dim)
+        limits = asked["hint_R"].to_numpy().astype(float), np.minimum(asked["hint_K"].to_numpy(), 1 << 30).astype(int)
+        rest = asked.drop_columns(["feature"])
+        shared = spark.sparkContext.broadcast((q, *limits, rest))
         sign, name = -measure.polarity, measure.name
 
         def run(batches):
-            q, radius, k = shared.value
+            q, radius, k, rest = shared.value
             for batch in batches:
-                column = batch.column(2)
-                if not batch.num_rows or not len(q):
-                    continue
-                x = column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
-                step = max(1, (2 << 20) // len(q))
-                for at in range(0, len(x), step):
-                    d = sign * _distances(name, x[at : at + step], q)
-                    ok = d <= sign * radius[None]
-                    n = len(d)
-                    for top in np.unique(k[k < n]):
-                        cols = np.flatnonzero(k == top)
-                        bound = np.partition(np.where(ok[:, cols], d[:, cols], np.inf), top - 1, axis=0)[top - 1]
-                        ok[:, cols] &= d[:, cols] <= bound
-                    row, col = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), batch.column(1).take(pa.array(at + row)), pa.array(col.astype(np.int32)), pa.array(sign * d[row, col])], ["object", "dtag", "__q", "distance"])
-
-        kinds = {f.name: f.dataType.simpleString() for f in entries.schema}
-        pairs = entries.select("object", "dtag", "feature").mapInArrow(run, f"object {kinds['object']}, dtag {kinds['dtag']}, __q int, distance double")
-        rows = asked[names].assign(__q=range(len(asked)))
-        schema = StructType([*(block.schema[c] for c in names), StructField("__q", IntegerType())])
-        local = spark.createDataFrame(rows.to_dict("records"), schema) if len(rows) else spark.createDataFrame([], schema)
-        return pairs.join(F.broadcast(local), "__q").drop("__q")
+                x = feature_matrix(batch.column(2), kind, dim)
+                for row, col, d in _nearest(name, sign, x, q, radius, k):
+                    yield _pairs(batch.select([0, 1]), rest, row, col, d)
+
+        return entries.select("object", "dtag", "feature").mapInArrow(run, _pair_schema(entries, queries))
+
+    def _grid(self, queries: DataFrame, entries: DataFrame, measure: Similarity, dim: int, n: int) -> DataFrame:
+        kind, sign, name = _numbers(entries), -measure.polarity, measure.name
+        across, down = math.ceil(n / CELL), max(1, math.ceil(entries.count() / CELL))
+        rest = [c for c in queries.columns if c != "feature"]
+        cut = lambda parts: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        left = entries.select("object", "dtag", "feature", cut(down).alias("__e")).withColumn("__q", every(across))
+        right = queries.withColumn("__q", cut(across)).withColumn("__e", every(down))
+
+        def run(key, left, right):
+            x, q = feature_matrix(left["feature"], kind, dim), feature_matrix(right["feature"], kind, dim)
+            radius, k = right["hint_R"].to_numpy().astype(float), np.minimum(right["hint_K"].to_numpy(), 1 << 30).astype(int)
+            own, asked = left.select(["object", "dtag"]), right.select(rest)
+            found = []
+            for at in range(0, len(q), QUERY_BLOCK):  # a bounded number of distances at a time
+                part = slice(at, at + QUERY_BLOCK)
+                found += [(row, at + col, d) for row, col, d in _nearest(name, sign, x, q[part], radius[part], k[part])]
+            row, col, d = (np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in enumerate((int, int, float)))
+            return pa.Table.from_batches([_pairs(own, asked, row, col, d)])
+
+        return left.groupBy("__q", "__e").cogroup(right.groupBy("__q", "__e")).applyInArrow(run, _pair_schema(entries, queries))
+
+
+def _numbers(entries: DataFrame):
+    kind = entries.schema["feature"].dataType.simpleString()
+    return np.float32 if "float" in kind else np.float64 if "double" in kind else np.int64
+
+
+def _pair_schema(entries: DataFrame, queries: DataFrame) -> StructType:
+    return StructType([entries.schema["object"], entries.schema["dtag"], *(f for f in queries.schema if f.name != "feature"), StructField("distance", DoubleType())])
+
+
+def _pairs(entries, queries, row: np.ndarray, col: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    """Rows of matches, of the chosen entries and queries (batches or tables)."""
+    flat = lambda t: [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns]
+    columns = [c.take(pa.array(row)) for c in flat(entries)] + [c.take(pa.array(col)) for c in flat(queries)]
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(d, pa.float64())], [*entries.schema.names, *queries.schema.names, "distance"])
+
+
+def _nearest(name: str, sign: int, x: np.ndarray, q: np.ndarray, radius: np.ndarray, k: np.ndarray):
+    """(row of x, row of q, distance) of what is inside the radius and can be among the k nearest, tile by tile."""
+    if not len(x) or not len(q):
+        return
+    step = max(1, (2 << 20) // len(q))
+    for at in range(0, len(x), step):
+        d = sign * _distances(name, x[at : at + step], q)
+        ok = d <= sign * radius[None]
+        n = len(d)
+        for top in np.unique(k[k < n]):
+            cols = np.flatnonzero(k == top)
+            bound = np.partition(np.where(ok[:, cols], d[:, cols], np.inf), top - 1, axis=0)[top - 1]
+            ok[:, cols] &= d[:, cols] <= bound
+        row, col = np.nonzero(ok)
+        yield at + row, col, sign * d[row, col]
 
 
 class Lsh:
@@ -186,7 +256,8 @@ class Inverted:
         some = self.postings(entries).join(wanted, "value", "left_semi")
         df = some.groupBy("value").agg(F.count("*").cast("double").alias("distance"))
         found = some.join(asked.join(df, "value"), "value").drop("value")
-        return found.withColumn("rank", F.row_number().over(W.partitionBy("qid", "qtag").orderBy("object", "dtag")))
+        # hint_K does not count here; a rank orders the matches of one object only, so its tag will do
+        return found.withColumn("rank", F.col("dtag") + 1)
 
 
 class KGraph:

@@ -107,17 +107,22 @@ def enumerate_parts(objects: DataFrame, key: str = "object", parts: str = "parts
 # journals
 
 
-def journal_record(key: str, meta: str, body: bytes) -> bytes:
+def journal_record(key: str, meta: str, body: bytes, reserved: int = 0) -> bytes:
+    if reserved:
+        raise PluginError("the reserved field of a record must be 0")
     k, m = key.encode(), meta.encode()
-    return struct.pack(JOURNAL_HEAD, JOURNAL_MAGIC, 0, len(k), len(m)) + k + m + body
+    return struct.pack(JOURNAL_HEAD, JOURNAL_MAGIC, reserved, len(k), len(m)) + k + m + body
 
 
 def read_journal(raw: bytes, domain: Domain, seek: int = 0) -> tuple[list[tuple[str, str, list[dict], int]], int]:
-    """Records (key, meta, parts, offset) up to the first bad magic or short read, and the last good offset."""
+    """Records (key, meta, parts, offset) up to the first bad magic or short read, and the last good offset.
+
+    Writers leave the reserved field 0; readers take a record whatever it holds.
+    """
     out, at, head = [], seek, struct.calcsize(JOURNAL_HEAD)
     while at + head <= len(raw):
-        magic, reserved, nk, nm = struct.unpack_from(JOURNAL_HEAD, raw, at)
-        if magic != JOURNAL_MAGIC or reserved != 0 or at + head + nk + nm > len(raw):
+        magic, _, nk, nm = struct.unpack_from(JOURNAL_HEAD, raw, at)
+        if magic != JOURNAL_MAGIC or at + head + nk + nm > len(raw):
             break
         body = at + head + nk + nm
         try:
@@ -156,32 +161,59 @@ def scan_local_files(spark: SparkSession, path: str) -> DataFrame:
 # graphs
 
 
-def write_graph(neighbours: list[list[int]], degrees: list[int] | None = None) -> bytes:
-    """A graph file without distances."""
-    out = [GRAPH_MAGIC, struct.pack("<III", GRAPH_VERSION, 0, len(neighbours))]
+#: Set in a graph file's flags if neighbours are ids only; else each is an id, a distance and a mark, 12 bytes with padding.
+GRAPH_IDS_ONLY = 1
+GRAPH_HEAD = "<III"
+_NEIGHBOUR = np.dtype([("id", "<u4"), ("dist", "<f4"), ("mark", "u1"), ("pad", "V3")])
+
+
+def write_graph(neighbours: list[list[int]], degrees: list[int] | None = None, distances: list[list[float]] | None = None) -> bytes:
+    """A graph file; without distances (as snapshots are), its flag says so."""
+    out = [GRAPH_MAGIC, struct.pack(GRAPH_HEAD, GRAPH_VERSION, 0 if distances else GRAPH_IDS_ONLY, len(neighbours))]
     for i, ids in enumerate(neighbours):
-        out.append(struct.pack(f"<II{len(ids)}I", (degrees or [len(x) for x in neighbours])[i], len(ids), *ids))
+        out.append(struct.pack("<II", (degrees or [len(x) for x in neighbours])[i], len(ids)))
+        if distances is None:
+            out.append(np.array(ids, "<u4").tobytes())
+        else:
+            rows = np.zeros(len(ids), _NEIGHBOUR)
+            rows["id"], rows["dist"], rows["mark"] = ids, distances[i], 1
+            out.append(rows.tobytes())
     return b"".join(out)
 
 
 def read_graph(raw: bytes) -> list[tuple[int, int, int]]:
     """(src, pos, dst) edges of a graph file."""
-    if raw[:8] != GRAPH_MAGIC:
+    if raw[: len(GRAPH_MAGIC)] != GRAPH_MAGIC:
         raise PluginError("not a graph")
-    version, caps, n = struct.unpack_from("<III", raw, 8)
-    if version != GRAPH_VERSION:
-        raise PluginError(f"graph version {version}")
-    at, out = 20, []
-    for src in range(n):
-        _, k = struct.unpack_from("<II", raw, at)
-        at += 8
-        for pos in range(k):
-            (dst,) = struct.unpack_from("<I", raw, at)
-            at += 9 if caps & 1 else 4
-            out.append((src, pos, dst))
+    at = len(GRAPH_MAGIC)
+    try:
+        version, flags, n = struct.unpack_from(GRAPH_HEAD, raw, at)
+        if version != GRAPH_VERSION:
+            raise PluginError(f"graph version {version}")
+        at += struct.calcsize(GRAPH_HEAD)
+        kind = np.dtype("<u4") if flags & GRAPH_IDS_ONLY else _NEIGHBOUR
+        out = []
+        for src in range(n):
+            _, k = struct.unpack_from("<II", raw, at)
+            rows = np.frombuffer(raw, kind, k, at + 8)
+            out += [(src, pos, int(dst)) for pos, dst in enumerate(rows if flags & GRAPH_IDS_ONLY else rows["id"])]
+            at += 8 + k * kind.itemsize
+    except (struct.error, ValueError) as e:
+        raise PluginError(f"short graph: {e}") from e
     return out
 
 
+def load_graph(files: DataFrame) -> DataFrame:
+    """(path, src, pos, dst) of graph files given as (path, content)."""
+
+    def run(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                yield pd.DataFrame([(path, *e) for e in read_graph(bytes(content))], columns=["path", "src", "pos", "dst"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, src long, pos int, dst long")
+
+
 def actual_degree(wanted: Column, m: Column, degree: Column) -> Column:
     """Neighbours that search looks at: max of the node's and the query's, up to what there is."""
     return F.least(F.greatest(m, wanted), degree)
