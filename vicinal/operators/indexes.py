@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +25,8 @@ from ..storage import materialize
 QUERY_BLOCK = 5_000
 #: Numbers that such a broadcast may hold.
 QUERY_NUMBERS = 4 << 20
+#: Objects whose counted words are scored at once.
+OBJECTS = 2_000
 #: Features of a side of a grid cell, beyond that.
 CELL = 20_000
 #: Entries of a random group from which NN-descent takes its first neighbours, about.
@@ -208,24 +214,33 @@ class Lsh:
     def __init__(self, dim: int, tables: int = 8, bits: int = 8, width: float = 1.0, seed: int = 1, word_bits: int = 32):
         self.dim, self.tables, self.bits, self.width, self.seed, self.word_bits = dim, tables, bits, width, seed, word_bits
 
+    def planes(self, measure: Similarity) -> list[list]:
+        """For each table: sampled bits (Hamming), or (projection, shift) pairs."""
+        rng = random.Random(self.seed)
+        draw = (lambda: math.tan(math.pi * (rng.random() - 0.5))) if measure.name == "l1" else (lambda: rng.gauss(0, 1))
+        if measure.name in ("hamming", "type_hamming"):
+            return [[rng.randrange(self.dim * self.word_bits) for _ in range(self.bits)] for _ in range(self.tables)]
+        return [[([round(draw(), 4) for _ in range(self.dim)], round(rng.random() * self.width, 4)) for _ in range(self.bits)] for _ in range(self.tables)]
+
+    def signature(self, feature, measure: Similarity):
+        """For each table, the array of whole numbers that equal features share. The projections are one literal."""
+        every = [x for table in self.planes(measure) for x in table]
+        if measure.name in ("hamming", "type_hamming"):
+            word = lambda at: F.element_at(feature, (F.floor(at / self.word_bits) + 1).cast("int"))
+            parts = F.transform(F.array(*map(F.lit, every)), lambda at: F.floor(word(at) / F.pow(F.lit(2.0), at % self.word_bits)) % 2)
+        else:
+            plane = F.from_json(F.lit(json.dumps([{"p": p, "s": s} for p, s in every])), "array<struct<p:array<double>,s:double>>")
+            if measure.name == "cosine":
+                parts = F.transform(plane, lambda x: (dot(feature, x["p"], None) > 0).cast("long"))
+            else:
+                parts = F.transform(plane, lambda x: F.floor((dot(feature, x["p"], None) + x["s"]) / self.width))
+        first = F.sequence(F.lit(0), F.lit(self.tables - 1))
+        parts = parts.cast("array<long>")
+        return F.transform(first, lambda t: F.slice(parts, t * self.bits + 1, self.bits))
+
     def codes(self, feature, measure: Similarity):
         """One code for each table."""
-        rng = random.Random(self.seed)
-        out = []
-        for _ in range(self.tables):
-            parts = []
-            for b in range(self.bits):
-                if measure.name in ("hamming", "type_hamming"):
-                    at = rng.randrange(self.dim * self.word_bits)
-                    parts.append(F.floor(F.get(feature, F.lit(at // self.word_bits)) / float(1 << at % self.word_bits)) % 2)
-                    continue
-                draw = (lambda: math.tan(math.pi * (rng.random() - 0.5))) if measure.name == "l1" else (lambda: rng.gauss(0, 1))
-                plane = [round(draw(), 4) for _ in range(self.dim)]
-                shift = round(rng.random() * self.width, 4)
-                p = dot(feature, F.array(*(F.lit(x) for x in plane)), None)
-                parts.append((p > 0).cast("long") if measure.name == "cosine" else F.floor((p + shift) / self.width))
-            out.append(F.xxhash64(*(p.cast("long") for p in parts)))
-        return F.array(*out)
+        return F.transform(self.signature(feature, measure), lambda parts: F.xxhash64(parts))
 
     def table(self, entries: DataFrame, measure: Similarity) -> DataFrame:
         """(table, code, object, dtag, feature)."""
@@ -249,6 +264,11 @@ class Inverted:
     def frequencies(entries: DataFrame) -> DataFrame:
         return entries.groupBy(F.col("feature").alias("value")).agg(F.count("*").alias("df"))
 
+    @staticmethod
+    def total(counts: DataFrame) -> DataFrame:
+        """Document frequencies from counted words (object, value, n)."""
+        return counts.groupBy("value").agg(F.sum("n").alias("df"))
+
     def search(self, queries: DataFrame, entries: DataFrame, measure: Similarity | None = None) -> DataFrame:
         asked = queries.withColumnRenamed("feature", "value")
         # only the queried words' postings are counted and joined
@@ -260,6 +280,89 @@ class Inverted:
         return found.withColumn("rank", F.col("dtag") + 1)
 
 
+def word_counts(texts: DataFrame, key: str, text: str, pattern: bytes = rb"[a-z]+") -> DataFrame:
+    """(object, value, n): the distinct words of each text (lower-cased) with their counts.
+
+    A text is one row, so its words are counted where it is, and nothing is shuffled.
+    """
+
+    def run(batches):
+        find = re.compile(pattern).findall
+        for batch in batches:
+            keys, values, counts = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = Counter(find(t.as_py().lower().encode())) if t.is_valid else {}
+                keys += [k] * len(found)
+                values += found.keys()
+                counts += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(values, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["object", "value", "n"])
+
+    return texts.select(F.col(key).alias("object"), F.col(text).alias("text")).mapInArrow(run, f"object {texts.schema[key].dataType.simpleString()}, value string, n long")
+
+
+def counted_hits(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, object, score): for each query the ``k`` objects with most hints, a hint being a word of the query that
+    meets an equal word of the object. Both sides are word counts (object, value, n).
+
+    Where the queries' distinct words times the queries are few (checked), they are broadcast as a matrix; a batch of
+    entries holds whole objects, so it passes on only its best of each query. Else both sides are joined by word.
+    """
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "object"))
+    size = queries.agg(F.count_distinct("value").alias("words"), F.count_distinct("object").alias("queries")).first()
+    if size["words"] * size["queries"] > QUERY_NUMBERS:
+        asked = queries.select(F.col("object").alias("qid"), "value", F.col("n").alias("m"))
+        found = entries.join(asked, "value").groupBy("qid", "object").agg(F.sum(F.col("n") * F.col("m")).cast("double").alias("score"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    rows = queries.toArrow().combine_chunks()  # QUERY_NUMBERS at most
+    words, ids = pc.unique(rows["value"].combine_chunks()), pc.unique(rows["object"].combine_chunks())
+    matrix = np.zeros((len(words), len(ids)))
+    if len(rows):
+        np.add.at(matrix, (pc.index_in(rows["value"], words).to_numpy(), pc.index_in(rows["object"], ids).to_numpy()), rows["n"].to_numpy())
+    shared = queries.sparkSession.sparkContext.broadcast((words, ids, matrix))
+
+    def best(objects: list, owner: list, word: list, n: list):
+        _, ids, matrix = shared.value
+        owner, word, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (owner, word, n))
+        scores = np.zeros((len(objects), len(ids)))
+        for at in range(0, len(owner), 1 << 14):  # the entries of an object follow one another
+            part = slice(at, at + (1 << 14))
+            first = np.flatnonzero(np.diff(owner[part], prepend=-1))
+            scores[owner[part][first]] += np.add.reduceat(matrix[word[part]] * n[part, None], first, axis=0)
+        top = min(k, len(objects))
+        bound = np.partition(scores, len(objects) - top, axis=0)[len(objects) - top] if len(objects) else 0
+        row, col = np.nonzero((scores >= bound) & (scores > 0))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(col)), pa.array(objects).take(pa.array(row)), pa.array(scores[row, col])], ["qid", "object", "score"])
+
+    def run(batches):
+        words = shared.value[0]
+        objects, owner, word, n = [], [], [], []
+        for batch in batches:
+            at = pc.index_in(batch.column(1), words)
+            here = pc.is_valid(at)
+            keys = batch.column(0).filter(here)
+            if not len(keys):
+                continue
+            names = keys.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+            number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(names))))
+            number += len(objects) - (1 if objects and objects[-1] == names[0] else 0)
+            objects += names[starts].tolist()[1 if objects and objects[-1] == names[0] else 0 :]
+            owner.append(number)
+            word.append(at.filter(here).to_numpy().astype(np.int64))
+            n.append(batch.column(2).filter(here).to_numpy())
+            if len(objects) > OBJECTS:  # the last one may go on in the next batch
+                last = len(objects) - 1
+                cut = [o < last for o in owner]
+                yield best(objects[:-1], [o[c] for o, c in zip(owner, cut)], [w[c] for w, c in zip(word, cut)], [x[c] for x, c in zip(n, cut)])
+                objects, owner, word, n = objects[-1:], [np.zeros((~c).sum(), np.int64) for c in cut], [w[~c] for w, c in zip(word, cut)], [x[~c] for x, c in zip(n, cut)]
+        if objects:
+            yield best(objects, owner, word, n)
+
+    qid, object_ = queries.schema["object"].dataType.simpleString(), entries.schema["object"].dataType.simpleString()
+    found = entries.select("object", "value", "n").mapInArrow(run, f"qid {qid}, object {object_}, score double")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 class KGraph:
     """Graph-navigated search over a k-nearest-neighbour graph, with a linear scan of what isn't indexed yet.
 

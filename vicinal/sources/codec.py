@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..domain import Domain
 from ..errors import PluginError
+from ..functions.text import is_url
 
 # Marks of the binary formats.
 JOURNAL_MAGIC = 0xDEADFACE
@@ -158,6 +159,26 @@ def scan_local_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.col("length") <= MAX_RAW).select("path", "content")
 
 
+def resolve_urls(requests: DataFrame, contents: DataFrame, url: str = "url", content: str = "content") -> DataFrame:
+    """``requests`` with the content of their URLs, from a table (url, content); of several contents the least counts.
+
+    Every URL must be an http, https or ftp one and have a content; another ends the query with an error.
+    """
+    known = contents.groupBy(F.col(url).alias("__url")).agg(F.min(content).alias("__content"))
+    found = requests.join(known, requests[url] == F.col("__url"), "left")
+    failed = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col(url))).cast(contents.schema[content].dataType)
+    value = F.when(~F.coalesce(is_url(F.col(url)), F.lit(False)), failed("not a URL")).when(F.col("__url").isNull(), failed("unresolved")).otherwise(F.col("__content"))
+    return found.select(*(requests[c] for c in requests.columns if c != content), value.alias(content))
+
+
+def truncate_journal(path: str, domain: Domain) -> int:
+    """Cuts a journal file after its last whole record; returns the offset."""
+    with open(path, "r+b") as f:
+        _, upto = read_journal(f.read(), domain)
+        f.truncate(upto)
+    return upto
+
+
 # graphs
 
 
