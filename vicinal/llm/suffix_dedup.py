@@ -534,12 +534,29 @@ def _answered(n_parts: int):
 # 4. cutting the texts
 
 
-def _at(places: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[places] = True
+def _counted(flags: np.ndarray) -> np.ndarray:
+    """How many flags stand before each position (one position more than flags)."""
+    out = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
+    np.cumsum(flags, out=out[1:])
     return out
 
 
+def _widen(gone: np.ndarray, raw: np.ndarray, off: np.ndarray) -> None:
+    """Adds to the removed bytes what is left of the characters at their edges (a character has four bytes at most)."""
+    inner = lambda at: at[(raw[at] & 0xC0) == 0x80]  # noqa: E731  bytes inside a character
+    first = np.zeros(len(raw) + 1, bool)
+    first[off] = True
+    begin = np.flatnonzero(gone & ~np.concatenate([[False], gone[:-1]])) if len(raw) else off[:0]
+    stop = np.flatnonzero(~gone & np.concatenate([[False], gone[:-1]])) if len(raw) else off[:0]
+    for _ in range(3):
+        begin = inner(begin)
+        begin = begin[~first[begin]] - 1
+        gone[begin] = True
+        stop = inner(stop[~first[stop]])
+        gone[stop] = True
+        stop = stop[stop + 1 < len(raw)] + 1
+
+
 def _cut(columns: list[str], whole_characters: bool):
     def run(key, docs, removals):
         n = len(docs)
@@ -551,22 +568,24 @@ def _cut(columns: list[str], whole_characters: bool):
             at = off[row] + start
             np.add.at(edge, at, 1)
             np.add.at(edge, at + size, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        np.cumsum(edge, out=edge)
+        gone = edge[:-1] > 0
+        del edge
         bytes_ = np.diff(off)
-        total = np.concatenate([[0], np.cumsum(gone)])
+        total = _counted(gone)
         removed = total[off[1:]] - total[off[:-1]]
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = off[:-1][(bytes_ > 0)]
         begins[inner] = gone[inner]
-        count = np.concatenate([[0], np.cumsum(begins)])
-        spans = count[off[1:]] - count[off[:-1]]
-        if whole_characters and gone.any():  # what is left of a character that lost a byte goes too
-            character = np.cumsum(((raw & 0xC0) != 0x80) | _at(off[:-1][bytes_ > 0], len(raw))) - 1
-            gone = (np.bincount(character, gone) > 0)[character]
+        count = _counted(begins)
+        spans = (count[off[1:]] - count[off[:-1]]).astype(np.int64)
+        removed = removed.astype(np.int64)
+        del count, total, begins
+        if whole_characters:
+            _widen(gone, raw, off)
         kept = raw[~gone]
-        total = np.concatenate([[0], np.cumsum(~gone)])
-        left = total[off]
+        left = _counted(~gone)[off]
         data = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
         found = [data, pa.array(bytes_), pa.array(removed), pa.array(spans)]
         return pa.table([*(docs[c] for c in columns), *found], names=[*columns, "__kept", "__n_bytes", "__n_removed", "__n_spans"])

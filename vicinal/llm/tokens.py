@@ -36,18 +36,31 @@ def _byte_chars() -> dict[str, int]:
 class Encoder:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         chars = _byte_chars()
         ranks = {bytes(chars[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer itself, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @functools.cached_property
+    def plain(self):
+        """The tokenizer, but strings of special tokens are text."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers; none for a null or empty text."""
         if not text:
