@@ -245,7 +245,7 @@ def test_service(spark, tmp_path):
         s.insert(0, "a", content=b"9 9", authentication="pw")
     with pytest.raises(RequestError):
         s.search(0, url="http://x", content=b"1 1")
-    assert [h.key for h in s.search(0, content=b"0.9 0", K=2).hits] == ["b", "a"]
+    assert [h.key for h in s.search(0, content=b"0.9 0", K=2, hint_K=2).hits] == ["b", "a"]
     assert s.fetch(0, ["c", "zz", "a", "a"]) == [("c", "mc"), ("a", "ma"), ("a", "ma")]
     assert s.stat(0) == {"size": 3, "last": ["a", "b", "c"]}
     status, headers, _ = s.handle("search_batch", {"db": 0})

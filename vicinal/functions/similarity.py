@@ -24,6 +24,11 @@ def is_normal(x: Column) -> Column:
     return F.coalesce(~F.isnan(x) & (F.abs(x) >= FLT_MIN_NORMAL) & (F.abs(x) <= FLT_MAX), F.lit(False))
 
 
+def is_normal_number(x: float) -> bool:
+    """The same test for a Python number."""
+    return FLT_MIN_NORMAL <= abs(x) <= FLT_MAX  # NaN fails
+
+
 def _sum(a: Column, b: Column, term: Callable[[Column, Column], Column], dim: int | None) -> Column:
     if dim is not None and dim <= UNROLL:
         total = F.lit(0.0)

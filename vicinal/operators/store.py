@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import KeyExistsError, PermissionDenied, RequestError
+from ..errors import KeyExistsError, PermissionDenied
+from ..sources import formats
+from ..storage import exists, forget, materialize, remove, subfolders
 
 LAST_SIZE = 500
 MAX_DBS = 256
@@ -42,19 +45,41 @@ def journal_stat(objects: DataFrame, parts: str = "parts") -> DataFrame:
     return objects.groupBy("db").agg(F.count("*").alias("objects"), F.sum(F.size(parts)).cast("long").alias("features")).withColumn("per_object", F.col("features") / F.col("objects"))
 
 
-def database_of(requests: DataFrame, idmap: DataFrame) -> DataFrame:
-    """Requests with the internal id of their database; unknown ones have none (left out by the caller, or raised)."""
-    return requests.join(F.broadcast(idmap), requests["db"] == idmap["outer_id"], "left")  # MAX_DBS rows at most
+def database_of(requests: DataFrame, idmap: DataFrame, strict: bool = False) -> DataFrame:
+    """Requests with the internal id of their database; an unknown one has none, or ends the query if ``strict``."""
+    found = requests.join(F.broadcast(idmap.limit(MAX_DBS)), requests["db"] == idmap["outer_id"], "left")
+    if not strict:
+        return found
+    checked = F.when(F.col("dbid").isNull(), F.raise_error(F.concat(F.lit("unknown database "), requests["db"].cast("string"))).cast("int")).otherwise(F.col("dbid"))
+    return found.withColumn("dbid", checked)
 
 
-def allocate(idmap: DataFrame, outer_id: int) -> DataFrame:
-    """The id map with a slot for ``outer_id``."""
-    rows = {r["outer_id"]: r["dbid"] for r in idmap.collect()}  # MAX_DBS rows at most
-    if outer_id in rows:
-        return idmap
-    if len(rows) >= MAX_DBS:
-        raise RequestError("too many databases")
-    return idmap.unionByName(idmap.sparkSession.createDataFrame([(len(rows), outer_id)], idmap.schema))
+def load_idmap(spark: SparkSession, path: str) -> dict[int, int]:
+    """Outer to internal ids, from the last version below ``path``; MAX_DBS entries or so."""
+    versions = sorted(p for p in subfolders(spark, path) if exists(spark, f"{p}/_SUCCESS"))
+    return {r["outer_id"]: r["dbid"] for r in formats.idmap(spark, versions[-1]).collect()} if versions else {}
+
+
+def save_idmap(spark: SparkSession, path: str, dbs: dict[int, int]) -> None:
+    """Writes a new version; the last but one stays for readers that have it open."""
+    formats.save_idmap(spark.createDataFrame([(i, o) for o, i in dbs.items()], "dbid int, outer_id int"), f"{path}/{len(dbs):06d}")
+    for old in sorted(subfolders(spark, path))[:-2]:
+        remove(spark, old)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``__n``, from 0 in each db: in order of ``seq`` if they have one, else in no particular order.
+
+    Rows are ranked inside buckets, whose sizes are summed first, so that no task orders a whole database.
+    """
+    in_order = "seq" in rows.columns
+    bucket = F.floor(F.col("seq") / (1 << 16)) if in_order else F.pmod(F.xxhash64("key"), F.lit(1024))
+    rows = materialize(rows.withColumn("__b", bucket), "batch")
+    sizes = rows.groupBy("db", "__b").agg(F.count("*").alias("__size"))
+    before = W.partitionBy("db").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    first = sizes.select("db", "__b", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__first"))
+    at = F.row_number().over(W.partitionBy("db", "__b").orderBy(*(["seq"] if in_order else []), "key")) - 1
+    return rows.withColumn("__n", at).join(first, ["db", "__b"]).withColumn("__n", F.col("__n") + F.col("__first")).drop("__b", "__first")
 
 
 class Store:
@@ -63,19 +88,20 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, schema: str = "key string, meta string, feature array<float>", readonly: bool = False):
         self.spark, self.root, self.readonly = spark, root.rstrip("/"), readonly
         self.schema = f"{schema}, seq long, db int"
-        if not self._exists():
+        if not readonly and not exists(spark, self.path):
             spark.createDataFrame([], self.schema).write.partitionBy("db").mode("append").parquet(self.path)
 
+    @property
+    def columns(self) -> list[str]:
+        return T._parse_datatype_string(self.schema).names
+
     @property
     def path(self) -> str:
         return f"{self.root}/records"
 
-    def _exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
     def records(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def _writable(self) -> None:
@@ -85,20 +111,22 @@ class Store:
     def insert(self, batch: DataFrame, strict: bool = True) -> int:
         """Appends new keys; a conflict raises before anything is written if ``strict``. Returns how many."""
         self._writable()
-        new, again = split_insert(batch, self.records())
+        batch = materialize(batch, "batch")
+        # of what is stored, only the keys that the batch has
+        known = self.records().select("db", "key").join(batch.select("db", "key").distinct(), ["db", "key"], "left_semi")
+        new, again = split_insert(batch, known)
         if strict and (bad := again.select("key").first()) is not None:
             raise KeyExistsError(bad["key"])
-        columns = [c.split()[0] for c in self.schema.split(", ")]
-        new = new.select(columns).cache()
+        new = materialize(new.select(self.columns), "new")
         n = new.count()
-        new.write.partitionBy("db").mode("append").parquet(self.path)
-        new.unpersist()
+        if n:
+            new.write.partitionBy("db").mode("append").parquet(self.path)
+        forget(new)
+        forget(batch)
         return n
 
     def clear(self, db: int) -> None:
         """Empties a database, for good."""
         self._writable()
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/db={int(db)}")
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(self.spark, f"{self.path}/db={int(db)}")
         self.spark.catalog.refreshByPath(self.path)

@@ -378,6 +378,16 @@ def kgraph_nndescent(spark, sf):
     return KGraph(DIM, K=10, L=20, S=8, iterations=4).descent(entries(spark, sf), SIMILARITIES["l2"])
 
 
+@query("kgraph_recall", "select count(*) as entries, 10 * count(*) as edges, true as recalled from embeddings")
+def kgraph_recall(spark, sf):
+    """Does the approximate graph hold 99 in 100 of the exact graph's edges?"""
+    measure, e = SIMILARITIES["l2"], entries(spark, sf)
+    found = materialize(KGraph(DIM, K=10, L=60, S=30, iterations=10).descent(e, measure).select("src", "dst"), "graph")
+    exact = KGraph(DIM, K=10).exact_graph(e, measure).select("src", "dst", F.lit(1).alias("hit"))
+    both = found.join(exact, ["src", "dst"], "left")
+    return both.agg(F.count_distinct("src").alias("entries"), F.count("*").alias("edges"), (F.count("hit") >= 0.99 * F.count("*")).alias("recalled"))
+
+
 @query("kgraph_search", _topk_sql(_D["l2"], 5))
 def kgraph_search(spark, sf):
     """Search over an approximate graph; with this graph and pool it finds all of the nearest at the test size."""

@@ -55,6 +55,14 @@ def _parts(domain: Domain, raw: bytes, at: int = 0) -> tuple[list[dict], int]:
     return out, at
 
 
+def decode_parts(domain: Domain, raw: bytes) -> list[dict]:
+    """Parts of one encoded object; broken bytes are an error."""
+    try:
+        return _parts(domain, raw)[0]
+    except (struct.error, ValueError) as e:
+        raise PluginError(f"broken object: {e}") from e
+
+
 def encode_parts(domain: Domain, parts: list[dict]) -> bytes:
     if domain.kind == "single":
         return np.asarray(parts[0]["feature"], domain.dtype).tobytes()

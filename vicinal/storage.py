@@ -79,3 +79,19 @@ def forget(df: DataFrame) -> None:
     if path:
         fs, p = _path(df.sparkSession, path)
         fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the folders in a folder; none if it isn't there."""
+    fs, p = _path(spark, path)
+    return [str(s.getPath()) for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
