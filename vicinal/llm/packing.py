@@ -8,7 +8,10 @@ Each input partition packs its own documents, so no row moves between tasks and
 same sequences again: a sequence id is the partition's number and a running number in it. At most one
 window per partition and block of ``BLOCK`` remainders is poorly filled, a share that falls with size.
 
-A null or empty text is one piece with the end id alone; repeated rows are packed one by one.
+A null or empty text is one piece with the end id alone; repeated rows are packed one by one. Texts of any
+length are tokenized whole. Ties: of remainders of one length the earlier row goes first, of windows with one
+capacity the one that was used last. Empty tables give no rows. Only id and text are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations
