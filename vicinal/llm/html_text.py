@@ -75,7 +75,7 @@ class Block:
 
     __slots__ = ("text", "path", "link", "depth")
 
-    def __init__(self, text: str, path: np.ndarray, link: float, depth: int):
+    def __init__(self, text: str, path: bytes, link: float, depth: int):
         self.text, self.path, self.link, self.depth = text, path, link, depth
 
 
@@ -90,7 +90,7 @@ def blocks(page: str | None) -> list[Block]:
         return out
     stack: list[tuple[str, tuple]] = []
     open_tags: dict[str, int] = {}
-    around = np.zeros(PATH_DIM, np.int32)  # open parts in each bucket
+    around, path = [0] * PATH_DIM, bytearray(PATH_DIM)  # open parts in each bucket, and whether there are any
     text: list[str] = []
     links = 0
 
@@ -99,6 +99,7 @@ def blocks(page: str | None) -> list[Block]:
             open_tags[tag] -= 1
             for b in buckets:
                 around[b] -= 1
+                path[b] = around[b] > 0
         del stack[at:]
 
     def flush():
@@ -106,7 +107,7 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, around > 0, min(1.0, links / len(whole)), len(stack)))
+                out.append(Block(whole, bytes(path), min(1.0, links / len(whole)), len(stack)))
             text.clear()
         links = 0
 
@@ -152,6 +153,7 @@ def blocks(page: str | None) -> list[Block]:
             open_tags[tag] = open_tags.get(tag, 0) + 1
             for b in buckets:
                 around[b] += 1
+                path[b] = 1
     add(page[at:])
     flush()
     return out
@@ -161,8 +163,8 @@ def features(page: list[Block]) -> np.ndarray:
     """One row per block."""
     x = np.zeros((len(page), DIM), np.float32)
     n = len(page)
+    x[:, :PATH_DIM] = np.frombuffer(b"".join(b.path for b in page), np.uint8).reshape(n, PATH_DIM)
     for i, b in enumerate(page):
-        x[i, :PATH_DIM] = b.path
         words = b.text.lower().split()
         counts = np.bincount([zlib.crc32(w.encode()) % WORD_DIM for w in words], minlength=WORD_DIM)
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.minimum(counts, 3) / np.sqrt(len(words))
@@ -257,8 +259,8 @@ class Labeller:
 def _with_path_mates(score: np.ndarray, page: list[Block], own: float = 0.6) -> np.ndarray:
     """Scores drawn, as logits, towards the mean of the page's blocks under the same tag path."""
     logit = np.log(np.clip(score, 1e-6, 1 - 1e-6) / np.clip(1 - score, 1e-6, 1))
-    _, mates = np.unique(np.array([b.path for b in page]), axis=0, return_inverse=True)
-    mates = mates.ravel()
+    known: dict[bytes, int] = {}
+    mates = np.array([known.setdefault(b.path, len(known)) for b in page])
     mean = np.bincount(mates, logit) / np.bincount(mates)
     return _sigmoid(own * logit + (1 - own) * mean[mates])
 
