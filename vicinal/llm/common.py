@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..storage import materialize, shared_folder
 
-__all__ = ["append_columns", "buffers", "materialize", "run_starts", "shared_folder", "slices", "spread", "table", "text_bytes"]
+__all__ = ["append_columns", "buffers", "materialize", "release", "run_starts", "shared_folder", "slices", "spread", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +83,20 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Gives a worker's free memory back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def append_columns(docs: DataFrame, keep: list[str] | None, inputs: list[F.Column], compute, new: str, limit: int = 8 << 20) -> DataFrame:
     """``docs`` with columns computed from Arrow batches.
 
@@ -98,6 +115,7 @@ def append_columns(docs: DataFrame, keep: list[str] | None, inputs: list[F.Colum
             for part in slices(batch, "__in0", limit):
                 found = compute([part.column(i) for i in range(n, part.num_columns)])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *found], [*columns, *names])
+        release()
 
     out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:n])
     return rows.mapInArrow(run, out + new)

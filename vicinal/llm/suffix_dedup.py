@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, materialize, run_starts, slices, spread, text_bytes
+from .common import buffers, materialize, release, run_starts, slices, spread, text_bytes
 from .components import join_counted
 from .gsaca import suffix_arrays
 
@@ -99,6 +99,24 @@ def merged(blobs) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*map(unpack, blobs))]
 
 
+def _released(function):
+    """A group's function that gives free memory back when it is done; it keeps its number of arguments."""
+
+    def one(key, rows):
+        try:
+            return function(key, rows)
+        finally:
+            release()
+
+    def two(key, left, right):
+        try:
+            return function(key, left, right)
+        finally:
+            release()
+
+    return one if function.__code__.co_argcount == 2 else two
+
+
 # naming windows
 
 
@@ -242,6 +260,7 @@ def _emit_spans(n_buckets: int, followers: int):
                     found, held = [], 0
         if found:
             yield out(found)
+        release()
 
     return run
 
@@ -627,21 +646,21 @@ def _cut_distinct(docs: DataFrame, columns: list[str], total: int, whole_charact
     named = docs.where(F.col("__id").isNotNull() & (F.octet_length("__text") >= LENGTH)).select(F.col("__id").alias("id"), F.col("__check").alias("check"), F.col("__text").alias("text"))
     packs = "kind int, part int, pack binary"
     spans = named.mapInArrow(_emit_spans(n_buckets, followers), "part int, pack binary")
-    shared = materialize(spans.groupBy("part").applyInArrow(_shared_names(n_parts, n_buckets), packs), "shared")
+    shared = materialize(spans.groupBy("part").applyInArrow(_released(_shared_names(n_parts, n_buckets)), packs), "shared")
     kind = lambda df, k, part="part": df.where(F.col("kind") == k).select(F.col("part").alias(part), "pack").groupBy(part)
     # those without an id get keys of their own, which no removal has, and which spread them
     place = F.when(F.col("__id").isNull(), F.monotonically_increasing_id() + F.lit(1 << 33)).otherwise(F.col("__check"))
     # (the columns are numbered inside, as their names may clash)
     slim = [F.coalesce("__id", F.lit(0)).alias("__id"), place.alias("__check"), F.coalesce(F.col("__text").cast("binary"), F.lit(b"")).alias("__text")]
     dealt = _deal_documents(docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)), *slim), n_parts)
-    bytes_ = dealt.select("__part", "__id", "__check", "__text").groupBy("__part").cogroup(kind(shared, FETCH, "__part")).applyInArrow(_fetch, "part int, pack binary")
-    solved = materialize(bytes_.groupBy("part").cogroup(kind(shared, OPEN)).applyInArrow(_resolve(n_parts), packs), "solved")
+    bytes_ = dealt.select("__part", "__id", "__check", "__text").groupBy("__part").cogroup(kind(shared, FETCH, "__part")).applyInArrow(_released(_fetch), "part int, pack binary")
+    solved = materialize(bytes_.groupBy("part").cogroup(kind(shared, OPEN)).applyInArrow(_released(_resolve(n_parts)), packs), "solved")
     both = shared.where(F.col("kind") == REMOVE).unionByName(solved.where(F.col("kind") == REMOVE))
     waiting = kind(shared, WAIT)
-    answered = materialize(waiting.cogroup(kind(shared.unionByName(solved), ANSWER)).applyInArrow(_answered(n_parts), packs), "answered")
+    answered = materialize(waiting.cogroup(kind(shared.unionByName(solved), ANSWER)).applyInArrow(_released(_answered(n_parts)), packs), "answered")
     removals = both.unionByName(answered).select(F.col("part").alias("__part"), "pack")
     out = "".join(f"`__c{i}` {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(columns))
-    cut = dealt.groupBy("__part").cogroup(removals.groupBy("__part")).applyInArrow(_cut([f"__c{i}" for i in range(len(columns))], whole_characters), out + "__kept binary, __n_bytes long, __n_removed long, __n_spans long")
+    cut = dealt.groupBy("__part").cogroup(removals.groupBy("__part")).applyInArrow(_released(_cut([f"__c{i}" for i in range(len(columns))], whole_characters)), out + "__kept binary, __n_bytes long, __n_removed long, __n_spans long")
     return cut.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)), *NEW)
 
 
