@@ -258,3 +258,49 @@ def test_service(spark, tmp_path):
         s.misc("nothing", 0, "pw")
     with pytest.raises(PermissionDenied):
         Store(spark, f"file://{tmp_path}/s", readonly=True).insert(None)
+
+
+def test_scan_paths_agree(spark, monkeypatch):
+    """Broadcast queries, broadcast entries and grid, with ties, copies, odd vectors and all limits, against brute force."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (70, 3)).astype(np.float32)
+    x[:20] = x[20]  # copies
+    x[30] = 0
+    x[31:40] += rng.normal(0, 1e-6, (9, 3)).astype(np.float32)
+    k, r = [1, 3, 500, 7], [9e9, 2.0, 1.5]
+    rows = [(i, 0, v.tolist(), k[i % 4], r[i % 3]) for i, v in enumerate(x)]
+    f = spark.createDataFrame(rows, "object long, dtag int, feature array<float>, hint_K int, hint_R double")
+    for name in ("l2", "cosine", "l1", "type_hamming"):
+        measure = sim.SIMILARITIES[name]
+        g = f if name != "type_hamming" else f.withColumn("feature", F.transform("feature", lambda v: v.cast("int").cast("long")))
+        e = g.select("object", "dtag", "feature")
+        radius = F.col("hint_R") if measure.polarity < 0 else F.lit(-2.0) + F.col("hint_R") % 2.0
+        q = with_limits(g.select(F.col("object").alias("qid"), F.col("dtag").alias("qtag"), "feature", "hint_K", radius.alias("hint_R")), measure.polarity, 1)
+        run = lambda: sorted((r["qid"], r["rank"], r["object"], r["distance"]) for r in Linear(3).search(q, e, measure).collect())  # noqa: B023, E731
+        want = indexes.hint_topk(Linear(3)._columns(q, e, measure), measure.polarity)
+        want = sorted((r["qid"], r["rank"], r["object"], r["distance"]) for r in want.collect())
+        for limits in ({}, {"QUERY_BLOCK": 9}, {"QUERY_BLOCK": 9, "BLOCK": 4, "TILE": 200, "HELD": 150, "OUT_ROWS": 11, "PAIRS": 7}, {"QUERY_BLOCK": 9, "ENTRY_NUMBERS": 0, "CELL": 25}):
+            with monkeypatch.context() as m:
+                for at, value in limits.items():
+                    m.setattr(indexes, at, value)
+                assert run() == want and len(want) > 500, (name, limits)
+
+
+def test_ties_stay_in_the_task():
+    """Of many equal distances a task keeps the k first only (they were all passed on before)."""
+    x = np.arange(3000, dtype=np.int64).reshape(1500, 2)
+    found = list(indexes._nearest("type_hamming", 1, x, x, np.full(1500, 9.0), np.full(1500, 5), True))
+    assert sum(len(row) for row, *_ in found) == 1500 * 5
+
+
+def test_single_features_are_cut_by_both_limits(spark, monkeypatch):
+    """K and R reach the index where a match is a hit; before, all hint_K matches left it."""
+    x, e = vectors(spark, n=60)
+    q = queries(e, K=2, R=1.5, hint_K=1000)
+    m = sim.SIMILARITIES["l2"]
+    monkeypatch.setattr(indexes, "QUERY_BLOCK", 9)
+    hits = search(q, e, m, Trivial(-1), Linear(6))
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2))
+    want = {(i, int(o), n + 1) for i in range(60) for n, o in enumerate(np.argsort(d[i], kind="stable")[:2]) if d[i, o] <= 1.5}
+    assert {(r["qid"], r["object"], r["rank"]) for r in hits.collect()} == want
+    assert "Window" not in hits._jdf.queryExecution().executedPlan().toString()
