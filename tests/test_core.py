@@ -304,3 +304,19 @@ def test_single_features_are_cut_by_both_limits(spark, monkeypatch):
     want = {(i, int(o), n + 1) for i in range(60) for n, o in enumerate(np.argsort(d[i], kind="stable")[:2]) if d[i, o] <= 1.5}
     assert {(r["qid"], r["object"], r["rank"]) for r in hits.collect()} == want
     assert "Window" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_parts_on_a_line(spark, monkeypatch):
+    """Parts of one value are not put through the flow, and the values are the same."""
+    from vicinal.operators import matchers
+
+    rng = np.random.default_rng(2)
+    parts = {i: (rng.random(n), rng.integers(0, 9, (n, 1)).astype(float)) for i, n in enumerate((40, 31, 1, 2))}
+    rows = spark.createDataFrame([(i, t, float(a), b.tolist()) for i, (w, x) in parts.items() for t, (a, b) in enumerate(zip(w, x))], "object long, tag int, weight double, feature array<double>")
+    pairs = spark.createDataFrame([(a, b, 9, 1e9) for a in parts for b in parts], "qid long, object long, K int, R double")
+    monkeypatch.setattr(matchers, "emd", None)  # not called
+    got = {(r["qid"], r["object"]): r["score"] for r in Earthmover(rows.withColumnRenamed("object", "qid"), rows).score(pairs).collect()}
+    for (a, b), v in got.items():
+        (wa, xa), (wb, xb) = parts[a], parts[b]
+        assert v == pytest.approx(emd(wa / wa.sum(), wb / wb.sum(), np.abs(xa - xb.T)), abs=1e-4)
+    assert len(got) == 16
