@@ -320,3 +320,23 @@ def test_many_parts_on_a_line(spark, monkeypatch):
         (wa, xa), (wb, xb) = parts[a], parts[b]
         assert v == pytest.approx(emd(wa / wa.sum(), wb / wb.sum(), np.abs(xa - xb.T)), abs=1e-4)
     assert len(got) == 16
+
+
+def test_lsh_scan_equals_join(spark, monkeypatch):
+    """Buckets of broadcast entries hold the pairs of the join, whose rows hold both features."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 6)).astype(np.float32)
+    x[:10] = x[11]
+    e = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "object long, dtag int, feature array<float>")
+    bits = e.withColumn("feature", F.transform("feature", lambda v: F.floor(F.abs(v) * 1e4)))
+    for name, f in (("cosine", e), ("l2", e), ("l1", e), ("hamming", bits)):
+        m, index = sim.SIMILARITIES[name], Lsh(6, tables=3, bits=3, width=1.5, word_bits=16)
+        q = with_limits(queries(f, hint_K=4), m.polarity, 1)
+        run = lambda: sorted((r["qid"], r["rank"], r["object"], r["distance"]) for r in index.search(q, f, m).collect())  # noqa: B023, E731
+        got, plan = run(), index.search(q, f, m)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
+        with monkeypatch.context() as p:
+            p.setattr(indexes, "ENTRY_NUMBERS", 0)
+            want = run()
+        assert set(got) == set(want), (name, sorted(set(got) ^ set(want))[:6])
+        assert got == want and len(got) > 100, (name, len(got))
