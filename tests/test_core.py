@@ -340,3 +340,21 @@ def test_lsh_scan_equals_join(spark, monkeypatch):
             want = run()
         assert set(got) == set(want), (name, sorted(set(got) ^ set(want))[:6])
         assert got == want and len(got) > 100, (name, len(got))
+
+
+def test_graph_paths_agree(spark, monkeypatch):
+    """Graph search with broadcast entries finds what its joins find; descent in tasks finds nearly the exact graph."""
+    x, e = vectors(spark, n=150, dim=4)
+    m = sim.SIMILARITIES["l2"]
+    g = KGraph(4, K=6, L=16, S=8, iterations=8, P=12, T=2)
+    graph = g.descent(e, m).localCheckpoint()
+    exact = {(r["src"], r["dst"]) for r in g.exact_graph(e, m).collect()}
+    assert len({(r["src"], r["dst"]) for r in graph.collect()} & exact) >= 0.95 * len(exact)
+    q = with_limits(queries(e.where("object < 20"), hint_K=5, hint_R=2.0), -1, -1)
+    for steps in (None, 1):
+        g.steps = steps
+        run = lambda: sorted((r["qid"], r["rank"], r["object"], r["distance"]) for r in g.search_graph(q, e, graph, m).collect())
+        got = run()
+        with monkeypatch.context() as p:
+            p.setattr(indexes, "ENTRY_NUMBERS", 0)
+            assert run() == got and len(got) > 80
