@@ -293,6 +293,24 @@ def test_ties_stay_in_the_task():
     assert sum(len(row) for row, *_ in found) == 1500 * 5
 
 
+def test_blocks_share_memory():
+    """Blocks of a scan are compared in the same memory (each had new memory before), and what is true in them is found."""
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1), (3, 5), (4, 16), (7, 33)):
+        for share in (0, 0.1, 1):
+            flags = rng.random(shape) < share
+            assert indexes._few(flags).tolist() == np.flatnonzero(flags).tolist()
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    best = indexes._Best("l2", 1, x, x[:50], indexes._screen("l2", x, x[:50]), np.full(50, 9e9), np.full(50, 5), True)
+    seen = []
+    for at in range(0, 900, 300):
+        best.feed(slice(None), slice(at, at + 300))
+        seen.append({kind: m.ctypes.data for kind, m in best.held.items()})
+    assert len(seen[0]) == 2 and seen[0] == seen[1] == seen[2]
+    d = ((x[:50, None].astype(float) - x[None]) ** 2).sum(axis=2)
+    assert best.trim()[2].reshape(50, 5).tolist() == np.argsort(d, axis=1)[:, :5].tolist()
+
+
 def test_single_features_are_cut_by_both_limits(spark, monkeypatch):
     """K and R reach the index where a match is a hit; before, all hint_K matches left it."""
     x, e = vectors(spark, n=60)
