@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from vicinal.operators import indexes
 from vicinal.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,3 +36,13 @@ def test_same_rows(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("name", ["hint_filter", "l2_topk", "candidate_group", "expected_hit", "knn_graph_exact", "default_resolution", "multipart_counting", "multipart_trivial", "range_search"])
+@pytest.mark.parametrize("path", [{"QUERY_BLOCK": 9}, {"QUERY_BLOCK": 9, "ENTRY_NUMBERS": 0, "CELL": 200}], ids=["entries broadcast", "grid"])
+def test_same_rows_of_many_queries(spark, sf, duck, name, path, monkeypatch):
+    """Searches as they run on larger tables; the grid lost the feature's column where both sides stem from one table."""
+    for at, value in path.items():
+        monkeypatch.setattr(indexes, at, value)
+    got = plain(catalog.QUERIES[name](spark, sf).toPandas())
+    pd.testing.assert_frame_equal(got, plain(duck.sql(catalog.ORACLE[name]).df()), check_dtype=False)
