@@ -293,6 +293,20 @@ def test_ties_stay_in_the_task():
     assert sum(len(row) for row, *_ in found) == 1500 * 5
 
 
+def test_radius_queries_share_blocks(monkeypatch):
+    """Queries that may match all entries but match few go together (before, as many at once as could all match); those
+    that do match all go apart again, and no match is lost."""
+    monkeypatch.setattr(indexes, "HELD", 1200)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2))
+    for radius, most in ((np.full(300, 0.8), 20), (np.where(np.arange(300) < 200, 0.8, 99.0), 300)):
+        parts = list(indexes._nearest("l2", 1, x, x, radius, np.full(300, 1000), True))
+        found = sorted((int(c), int(r)) for row, col, _, _ in parts for c, r in zip(col, row))
+        assert found == [(int(c), int(r)) for c, r in zip(*np.nonzero(d <= radius[:, None]))]
+        assert len(parts) <= most and max(len(row) for row, *_ in parts) <= 1200
+
+
 def test_blocks_share_memory():
     """Blocks of a scan are compared in the same memory (each had new memory before), and what is true in them is found."""
     rng = np.random.default_rng(3)
